@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontam, near_dedup
 
-QUERIES = {"op6_minhash": near_dedup.op6_minhash}
-ORACLES = {"op6_minhash": near_dedup.OP6_SQL}
+QUERIES = {"op6_minhash": near_dedup.op6_minhash, "op7_decontaminate": decontam.op7_decontaminate}
+ORACLES = {"op6_minhash": near_dedup.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}
