@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, near_dedup
+from . import decontam, near_dedup, pii, secrets
 
-QUERIES = {"op6_minhash": near_dedup.op6_minhash, "op7_decontaminate": decontam.op7_decontaminate}
+QUERIES = {
+    "op5_pii": pii.op5_pii,
+    "op6_minhash": near_dedup.op6_minhash,
+    "op7_decontaminate": decontam.op7_decontaminate,
+    "op9_secrets": secrets.op9_secrets,
+}
 ORACLES = {"op6_minhash": near_dedup.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}
