@@ -90,7 +90,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of some texts: ``hash``, byte ``start`` and ``end``; those of text d are [first[d], first[d + 1])."""
 
-    __slots__ = ("hash", "start", "end", "first")
+    __slots__ = ("hash", "start", "end", "first", "_total", "_ipw")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, sep: np.ndarray):
         n = len(buf)
@@ -109,10 +109,18 @@ class Words:
         pw, ipw = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE_CODE[buf] * pw[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * ipw[self.start]
-        self.hash = mix(h + (self.end - self.start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+        self._total, self._ipw = total, ipw
+        self.hash = self._of(self.end)
         self.first = np.searchsorted(self.start, offs)
 
+    def _of(self, end: np.ndarray) -> np.ndarray:
+        h = (self._total[end] - self._total[self.start]) * self._ipw[self.start]
+        return mix(h + (end - self.start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
+    def prefix(self, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of each word, or of the whole of a shorter one."""
+        return self._of(np.minimum(self.end, self.start + k))
+
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words; of fewer words, one hash of all of them; of none, nothing."""
@@ -156,3 +164,21 @@ def ragged(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(r) for r in rows], out=offs[1:])
     flat = np.concatenate(rows) if rows else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, kind))
+
+
+def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, held_out: tuple[int, int], most: int, seed: int = 11) -> DataFrame:
+    """(doc_id, y) of at most ``most`` labelled rows, least hash first; ``held_out`` (m, r): ids whose crc32 mod m is r stay out.
+
+    Rows without id or label are left out; of an id with several labels the largest counts."""
+    from pyspark.sql import functions as F
+
+    m, r = held_out
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string")) % m != r).groupBy("doc_id").agg(F.max("y").alias("y"))
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+
+
+def held_out_flag(m: int, r: int):
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % m == r, F.lit(False))
