@@ -2,11 +2,11 @@
 
 Plan. (1) One pass over the texts gives every document the size and a 128-bit digest of its shingle set, 125 minima of universal hash
 functions and 25 band keys of five minima each. (2) Documents of equal sets are one class; only its least id goes on. (3) Within each band
-bucket all classes are compared with the bucket's least one, its leader, never with each other: the number of pairs is that of the rows.
-What is not linked to its leader stays for the next round, with a new leader. (4) Jaccard distance is a metric, so a class that has no link
-to leader R can have a link to a class linked to R only if its similarity to R is at least 2t - 1. Such classes, while in another component, are
-compared with the members of R's star whose distance to R allows a link. No link between different sets that share a band is lost
-other than inside one component. (5) Components by large-star and small-star.
+bucket all classes are compared with the bucket's leader, never with each other: the number of pairs is that of the rows. Leaders are
+drawn by three seeds, dealt over the bands, so that a class seldom has one leader only. (4) What the verified links join is one component. A bucket
+whose members are of one component is done. In others, members outside the bucket's main component are taken as leaders, four in each bucket, then
+four times as many in each round; they are compared with the members of other components, until each such member has been or belongs to the main one.
+So every pair of different sets that share a band is compared, unless already joined by links. (5) Components by large-star and small-star.
 
 With similarity s a pair shares a band with probability 1 - (1 - s^5)^25, over 0.999999 at 0.85.
 """
@@ -17,16 +17,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 from .graph import connected_components
 
-_rng = np.random.default_rng(7)
 _LANES = 2048
 #: Leaders with more partners than this are spread over SALTS copies.
 HOT, SALTS = 512, 16
+#: Seeds by which buckets draw their leaders.
+LEADERS = 3
 
 
 class Params:
@@ -93,17 +94,34 @@ def _with_hot(pairs: DataFrame, side: DataFrame, key: str, value: str, name: str
     return marked.join(salted.withColumnRenamed("id", key), [key, "salt"]).drop("salt")
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """(a, b, inter, uni) of distinct pairs whose signatures may reach 2t - 1 (seven standard errors below), on full sets."""
-    low = max(0.0, 2 * p.num / p.den - 1)
-    lanes = p.bands * p.rows
-    least = int(lanes * max(0.0, low - 7 * (low * (1 - low) / lanes) ** 0.5))
-    sizes = pairs.groupBy("b").count()
-    sized = _with_hot(pairs, sigs, "b", "sig", "sig_b", sizes).join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-    near = sized.where(F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) >= least).select("a", "b")
-    full = _with_hot(near, sets, "b", "set", "set_b", near.groupBy("b").count()).join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    inter = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return full.select("a", "b", inter.alias("inter"), (F.size("set_a") + F.size("set_b")).cast("long").alias("total")).select("a", "b", "inter", (F.col("total") - F.col("inter")).alias("uni"))
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params, few: bool) -> DataFrame:
+    """(a, b) of the distinct pairs that reach the threshold: by signatures first, six standard errors below it, then on full sets."""
+    t, lanes = p.num / p.den, p.bands * p.rows
+    least = int(lanes * max(0.0, t - 6 * (t * (1 - t) / lanes) ** 0.5))
+
+    def of(side: DataFrame, which: DataFrame) -> DataFrame:
+        """Of a few pairs only the rows that they need are dealt out."""
+        return side.join(which.select(F.col("a").alias("id")).unionByName(which.select(F.col("b").alias("id"))).distinct(), "id", "left_semi") if few else side
+
+    own = of(sigs, pairs)
+    sized = _with_hot(pairs, own, "b", "sig", "sig_b", pairs.groupBy("b").count()).join(own.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+    same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return sized.where(same >= least).select("a", "b")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    own = sets.join(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct(), "id", "left_semi")
+    full = _with_hot(near, own, "b", "set", "set_b", near.groupBy("b").count()).join(own.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    full = full.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("inter"), (F.size("set_a") + F.size("set_b")).cast("long").alias("total"))
+    return full.where(F.expr(f"{p.den} * inter >= {p.num} * (total - inter)")).select("a", "b")
+
+
+def _merge(spark: SparkSession, roots: DataFrame, links: DataFrame, stage: C.Stage) -> DataFrame:
+    """(id, root) after further links: components of the components."""
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    up = connected_components(spark, joined, stage).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,45 +136,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     seen = stage.table(base.mapInArrow(_signatures(p), "doc_id long, n_shingles long, hi long, lo long, sig array<int>, bands array<long>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")
     classes = stage.table(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")))
-    rows = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("b")).where("n > 1")
-    left = stage.table(rows.join(shared.select("bucket"), "bucket"))
-    touched = left.select("id").distinct()
+    rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    draw = F.xxhash64("id", F.col("band") % LEADERS)
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.struct(draw, "id")).alias("b")).where("n > 1").select("bucket", "b")
+    rows = stage.table(rows.join(shared, "bucket").select("bucket", "id", "b"))
+    touched = stage.table(rows.select("id").distinct())
     cand = base.join(touched.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = stage.table(cand.mapInArrow(_full_sets(p), "id long, set array<long>").dropDuplicates(["id"]))
     sigs = stage.table(classes.join(touched, "id", "left_semi").select("id", "sig"))
-    link = f"{p.den} * inter >= {p.num} * uni"
-    known = None
+
+    def verified(pairs: DataFrame, few: bool) -> DataFrame:
+        near = stage.table(_links(pairs, sigs, sets, p, few))
+        return stage.table(_confirmed(near, sets, p))
+
+    pairs = rows.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    links = verified(stage.table(pairs), False)
+    roots = stage.table(_merge(spark, touched.select("id", F.col("id").alias("root")), links, stage))
+    members, done, k = rows.select("bucket", "id"), None, 4
     while True:
-        leaders = left.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-        met = stage.table(left.join(leaders, "bucket").where("id <> b").select("bucket", F.col("id").alias("a"), "b"))
-        if met.isEmpty():
+        here = members.join(roots, "id")
+        mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
+        main = here.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        apart = here.join(main, "bucket").where("root <> main").select("bucket", "id", "root")
+        if done is not None:
+            apart = apart.join(done, ["bucket", "id"], "left_anti")
+        first = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
+        lead = stage.table(apart.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("bucket", F.col("id").alias("x"), F.col("root").alias("rx")))
+        if lead.isEmpty():
             break
-        new = met.select("a", "b").distinct()
-        if known is not None:
-            new = new.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = stage.table(_similar(new, sigs, sets, p).where(f"{p.den} * inter >= {2 * p.num - p.den} * uni") if 2 * p.num > p.den else _similar(new, sigs, sets, p))
-        merged = found if known is None else stage.table(known.unionByName(found))
-        linked = merged.where(link).select("a", "b")
-        rest = stage.table(met.join(linked, ["a", "b"], "left_anti").select("bucket", F.col("a").alias("id")))
-        for t in (met, left):
-            stage.drop(t)
-        known, left = merged, rest
-    if known is None:
-        return seen.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    roots = stage.table(connected_components(spark, known.where(link), stage))
-    # what is near a leader's star, but in another component, meets the members of that star
-    of = lambda c, n: roots.select(F.col("node").alias(c), F.col("root").alias(n))
-    far = known.where(f"not ({link})").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left")
-    far = far.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", (F.lit(1.0) - F.col("inter") / F.col("uni")).alias("d"))
-    star = known.where(link).select(F.col("a").alias("c"), "b", (F.lit(1.0) - F.col("inter") / F.col("uni")).alias("e"))
-    t = 1 - p.num / p.den
-    more = far.join(star, "b").where(F.abs(F.col("d") - F.col("e")) <= t + 1e-9).select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b")).where("a <> b").distinct()
-    more = stage.table(more.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        extra = stage.table(_similar(more, sigs, sets, p).where(link))
-        if not extra.isEmpty():
-            roots = stage.table(connected_components(spark, known.where(link).select("a", "b").unionByName(extra.select("a", "b")), stage))
+        met = lead.join(here, "bucket").where("root <> rx").select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+        links = verified(stage.table(met), True)
+        old, roots = roots, stage.table(_merge(spark, roots, links, stage))
+        stage.drop(old)
+        tried = lead.select("bucket", F.col("x").alias("id"))
+        done, members, k = tried if done is None else stage.table(done.unionByName(tried)), here.select("bucket", "id"), 4 * k
+    roots = roots.select(F.col("id").alias("node"), "root")
     # copies of a set follow their class
     member = classes.select("hi", "lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("root"))
     out = seen.join(member, ["hi", "lo"], "left")
