@@ -25,6 +25,7 @@ HELD_OUT = (3, 1)
 THRESHOLD = 0.7
 #: A feature needs so many toxic documents, and so strong a bound, to count.
 MIN_DOCS, MIN_WEIGHT = 4, 0.5
+PREFIXES, STRONGEST = (4, 5, 6, 7, 8), 2
 #: Longer strings are keys or addresses, not disguised words.
 MAX_HIDDEN = 32
 _MASK = C.U64(BUCKETS - 1)
@@ -191,7 +192,7 @@ def _texts(column: pa.Array, lm: np.ndarray):
 def _families(buf: np.ndarray, offs: np.ndarray):
     """Bucket numbers for each family of features, and each text's first word."""
     w = C.Words(buf, offs, C.NOT_ALNUM)
-    return [(h & _MASK).astype(np.int64) for h in (w.hash, w.prefix(4) * C.U64(3), w.prefix(5) * C.U64(5))], w.first
+    return [(h & _MASK).astype(np.int64) for h in (w.hash, *(w.prefix(k) * C.U64(2 * k + 1) for k in PREFIXES))], w.first
 
 
 def _all_features(buf, offs, fixed):
@@ -225,19 +226,25 @@ def _frequencies(lm: np.ndarray):
 
 
 def _strongest(lm: np.ndarray, weight: np.ndarray):
-    """The largest weight of each text's features; 0 where it has none that counts."""
+    """The sum of each text's two heaviest words, a word weighing as its strongest feature; 0 where none counts."""
 
     def run(batches):
         for b in batches:
             out = []
             for buf, offs, fixed in _texts(b.column(1), lm):
                 fams, at, more, mt = _all_features(buf, offs, fixed)
-                best = np.zeros(len(offs) - 1)
-                for f, t in [(f, at) for f in fams] + [(f, mt) for f in more]:
-                    w = weight[f]
-                    k = np.flatnonzero(w)
-                    np.maximum.at(best, np.searchsorted(t, k, "right") - 1, w[k])
-                out.append(best)
+                who, what = [], []
+                for families, first in ((fams, at), (more, mt)):
+                    if families:
+                        w = np.max([weight[f] for f in families], axis=0)
+                        k = np.flatnonzero(w)
+                        who.append(np.searchsorted(first, k, "right") - 1)
+                        what.append(w[k])
+                who, what = np.concatenate(who), np.concatenate(what)
+                order = np.lexsort((-what, who))
+                who, what = who[order], what[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who)
+                out.append(np.bincount(who[place < STRONGEST], what[place < STRONGEST], minlength=len(offs) - 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "best"])
 
     return run
