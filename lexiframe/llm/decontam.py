@@ -108,7 +108,7 @@ def runs(mask: np.ndarray) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def _scan(part: Windows | None, again: bool):
+def _scan(part: Windows | None, again: bool, keep: list[str]):
     def run(batches):
         if part:
             part.ready()
@@ -137,28 +137,25 @@ def _scan(part: Windows | None, again: bool):
                     else:
                         spans.append(np.zeros(0, np.int64))
             cols = {"doc_id": b.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "hits": C.ragged(hits, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": C.ragged(spans, pa.int64())}
-            if "text" in keep:
-                cols["text"] = b.column("text")
+            cols |= {c: b.column(c) for c in keep}
             yield pa.RecordBatch.from_pydict(cols)
 
-    keep: set[str] = set()
-    run.keep = keep
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, hits (word runs, start and end in turn), items (sorted as strings), spans (code points in the original, likewise), a row for each row of ``docs``.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, hits (word runs, start and end in turn), items (sorted as strings), spans (code points in the original, likewise) and the columns named in ``keep``, a row for each row of ``docs``.
 
     Null texts have no words; an empty table or benchmark gives no hits. Repeated items and windows count once; items that share a window all
     occur with it. Rows that repeat an id are kept apart. Other columns are ignored."""
     parts = windows([(r[0], r[1]) for r in benchmark.select(item_col, item_text).toLocalIterator()], width)
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    more = [c for c in keep if c not in ("doc_id", "text")]
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    kinds = dict(out.dtypes)
     for k, part in enumerate(parts or [None]):
-        run = _scan(part, k > 0)
         last = k + 1 >= len(parts)
-        if not last:
-            run.keep.add("text")
-        out = out.mapInArrow(run, _SCHEMA + ("" if last else ", text string"))
+        carried = more + (["text"] if not last or "text" in keep else [])
+        out = out.mapInArrow(_scan(part, k > 0, carried), _SCHEMA + "".join(f", {c} {kinds[c]}" for c in carried))
     return out
 
 
@@ -166,10 +163,10 @@ def _digest(items):
     return F.sha2(F.array_join(items, ","), 256)
 
 
-def report(hits: DataFrame) -> DataFrame:
+def report(hits: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # words of the runs: ends minus starts
     n_hit = F.aggregate(F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda s, x: s + x)
-    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), _digest("items").alias("items_sha256"))
+    out = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), _digest("items").alias("items_sha256"), *[c for c in keep if c != "doc_id"])
     return out.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 

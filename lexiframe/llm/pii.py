@@ -163,15 +163,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     A null text counts as empty and has no spans; rows that repeat an id are kept apart; an empty table gives an empty one; columns not named in
     ``keep`` are ignored. Added spans never overlap a base span of their kind."""
     stage = C.Stage(spark, "pii")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), *keep)
     for k, p in BASE.items():
-        rows = rows.withColumn(f"_{k}", spans_of(F.col("text"), p, k))
+        rows = rows.withColumn(f"_{k}", spans_of(F.col("_t"), p, k))
     for k, p in LOOSE.items():
-        rows = rows.withColumn(f"_loose_{k}", spans_of(F.col("text"), p, k))
+        rows = rows.withColumn(f"_loose_{k}", spans_of(F.col("_t"), p, k))
     every = F.concat(*[F.col(f"_{k}") for k in KINDS])
     rows = rows.withColumn("_all", every).withColumn("base", F.filter("_all", lambda s: valid(s["kind"], s["text"])))
     loose = F.filter(F.concat(*[F.col(f"_loose_{k}") for k in LOOSE]), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    voted = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), _votes(F.col("text"), s).alias("v"))
+    voted = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), _votes(F.col("_t"), s).alias("v"))
     rows = rows.withColumn("cands", F.transform(F.concat("_all", loose), voted))
     held = stage.table(rows.select("doc_id", "base", "cands", *keep))
     model = _fit(held.select("cands"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, near_dedup, pii, secrets
+from . import ann, decontam, mixing, near_dedup, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op3_quality": quality.op3_quality,
+    "op4_ann": ann.op4_ann,
     "op5_pii": pii.op5_pii,
     "op6_minhash": near_dedup.op6_minhash,
     "op7_decontaminate": decontam.op7_decontaminate,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_secrets": secrets.op9_secrets,
 }
-ORACLES = {"op6_minhash": near_dedup.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}
+ORACLES = {"op1_mixing": mixing.OP1_SQL, "op6_minhash": near_dedup.OP6_SQL, "op7_decontaminate": decontam.OP7_SQL}

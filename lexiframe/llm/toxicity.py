@@ -225,7 +225,7 @@ def _frequencies(lm: np.ndarray):
     return run
 
 
-def _strongest(lm: np.ndarray, weight: np.ndarray):
+def _strongest(lm: np.ndarray, weight: np.ndarray, keep: tuple[str, ...] = ()):
     """The sum of each text's two heaviest words, a word weighing as its strongest feature; 0 where none counts."""
 
     def run(batches):
@@ -245,7 +245,8 @@ def _strongest(lm: np.ndarray, weight: np.ndarray):
                 who, what = who[order], what[order]
                 place = np.arange(len(who)) - np.searchsorted(who, who)
                 out.append(np.bincount(who[place < STRONGEST], what[place < STRONGEST], minlength=len(offs) - 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "best"])
+            best = pa.array(np.concatenate(out) if out else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([b.column(0), best, *[b.column(c) for c in keep]], ["doc_id", "best", *keep])
 
     return run
 
@@ -266,8 +267,8 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: tuple[int, int] = HELD_OUT, threshold: float = THRESHOLD, sample: int = SAMPLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted[, kept columns]), a row for each row of ``docs``.
 
     Null and empty texts have no features and score as the fitted curve says at zero. Repeated ids are scored apart; a null id is not held out and has no
     label. Without labels of both classes every text scores their smoothed share. Columns other than doc_id and text are ignored."""
@@ -284,9 +285,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
         weight[r.bucket] = r.w
     fold = known.where("fold = 0").select("y", "text").mapInArrow(_strongest(lm, weight), "doc_id int, best double").collect()
     slope, at_zero = _curve(np.array([r.best for r in fold]), np.array([float(r.doc_id) for r in fold]))
-    scored = rows.mapInArrow(_strongest(lm, weight), "doc_id long, best double")
+    more = tuple(c for c in keep if c != "doc_id")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in more if c != "text"])
+    schema = "doc_id long, best double" + "".join(f", {c} {t}" for c, t in whole.select(*more).dtypes)
+    scored = whole.mapInArrow(_strongest(lm, weight, more), schema)
     score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("best") + F.lit(at_zero))))
-    return scored.select("doc_id", C.held_out_flag(*held_out).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select("doc_id", C.held_out_flag(*held_out).alias("held_out"), score.alias("score"), *more).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
