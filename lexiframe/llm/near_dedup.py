@@ -4,9 +4,10 @@ Plan. (1) One pass over the texts gives every document the size and a 128-bit di
 functions and 25 band keys of five minima each. (2) Documents of equal sets are one class; only its least id goes on. (3) Within each band
 bucket all classes are compared with the bucket's leader, never with each other: the number of pairs is that of the rows. Leaders are
 drawn by three seeds, dealt over the bands, so that a class seldom has one leader only. (4) What the verified links join is one component. A bucket
-whose members are of one component is done. In others, members outside the bucket's main component are taken as leaders, four in each bucket, then
-four times as many in each round; they are compared with the members of other components, until each such member has been or belongs to the main one.
-So every pair of different sets that share a band is compared, unless already joined by links. (5) Components by large-star and small-star.
+whose members are of one component is done. For the sets in others it is counted which shingles no other of them has; what is left of two sets
+bounds what they share, and most members outside their bucket's main component turn out to have room for no link. The rest are taken as leaders, four in each
+bucket, then four times as many in each round, and compared with the members of other components that they have room for, until each has been.
+So every pair of different sets that share a band is compared, unless already joined by links or proven apart. (5) Components by large-star and small-star.
 
 With similarity s a pair shares a band with probability 1 - (1 - s^5)^25, over 0.999999 at 0.85.
 """
@@ -124,6 +125,13 @@ def _merge(spark: SparkSession, roots: DataFrame, links: DataFrame, stage: C.Sta
     return roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
 
 
+def _room(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, s): the size of each set, and how many of its shingles any other of these sets has. It bounds what a pair can share."""
+    own = sets.join(ids, "id", "left_semi")
+    alone = own.select("id", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    return own.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -149,24 +157,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         near = stage.table(_links(pairs, sigs, sets, p, few))
         return stage.table(_confirmed(near, sets, p))
 
+    def fits(shared: str, n: str, other: str):
+        """Whether sets of n and ``other`` shingles, of which ``shared`` at most can be common, may reach the threshold."""
+        return F.expr(f"{shared} * {p.num + p.den} >= {p.num} * ({n} + {other})")
+
     pairs = rows.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     links = verified(stage.table(pairs), False)
     roots = stage.table(_merge(spark, touched.select("id", F.col("id").alias("root")), links, stage))
-    members, done, k = rows.select("bucket", "id"), None, 4
+    members, done, k, room = rows.select("bucket", "id"), None, 4, None
     while True:
         here = members.join(roots, "id")
         mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
-        main = here.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        apart = here.join(main, "bucket").where("root <> main").select("bucket", "id", "root")
+        if room is None:
+            here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
+            room = stage.table(_room(sets, here.select("id").distinct()))
+            here = here.join(room, "id")
+        else:
+            here = here.join(mixed, "bucket").join(room, "id")
+        here = stage.table(here.select("bucket", "id", "root", "n", "s"))
+        main = here.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.min("n").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.min("n").alias("least"))
+        apart = here.join(main, "bucket").where("root <> main").where(fits("s", "n", "least"))
         if done is not None:
             apart = apart.join(done, ["bucket", "id"], "left_anti")
         first = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-        lead = stage.table(apart.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).select("bucket", F.col("id").alias("x"), F.col("root").alias("rx")))
+        lead = apart.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+        lead = stage.table(lead.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx")))
         if lead.isEmpty():
             break
-        met = lead.join(here, "bucket").where("root <> rx").select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
-        links = verified(stage.table(met), True)
+        met = lead.join(here, "bucket").where("root <> rx").where(fits("least(s, sx)", "n", "nx"))
+        links = verified(stage.table(met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()), True)
         old, roots = roots, stage.table(_merge(spark, roots, links, stage))
         stage.drop(old)
         tried = lead.select("bucket", F.col("x").alias("id"))
