@@ -4,9 +4,8 @@ Plan. (1) One pass over the texts gives every document the size and a 128-bit di
 functions and 25 band keys of five minima each. (2) Documents of equal sets are one class; only its least id goes on. (3) Within each band
 bucket all classes are compared with the bucket's leader, never with each other: the number of pairs is that of the rows. Leaders are
 drawn by three seeds, dealt over the bands, so that a class seldom has one leader only. (4) What the verified links join is one component. A bucket
-whose members are of one component is done. For the sets in others it is counted which shingles no other of them has; what is left of two sets
-bounds what they share, and most members outside their bucket's main component turn out to have room for no link. The rest are taken as leaders, four in each
-bucket, then four times as many in each round, and compared with the members of other components that they have room for, until each has been.
+whose members are of one component is done. Members outside the main component of another bucket meet the sets of all such buckets by prefixes:
+of two sets that reach the threshold, each has a common shingle among its few rarest, so that a set meets others that share its rare shingles, not its whole group.
 So every pair of different sets that share a band is compared, unless already joined by links or proven apart. (5) Components by large-star and small-star.
 
 With similarity s a pair shares a band with probability 1 - (1 - s^5)^25, over 0.999999 at 0.85.
@@ -18,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,6 +28,8 @@ _LANES = 2048
 HOT, SALTS = 512, 16
 #: Seeds by which buckets draw their leaders.
 LEADERS = 3
+#: Hash bins by which shingles are ordered; 8 MB on the driver and with each task.
+BINS = 1 << 20
 
 
 class Params:
@@ -125,11 +126,36 @@ def _merge(spark: SparkSession, roots: DataFrame, links: DataFrame, stage: C.Sta
     return roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
 
 
-def _room(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, n, s): the size of each set, and how many of its shingles any other of these sets has. It bounds what a pair can share."""
-    own = sets.join(ids, "id", "left_semi")
-    alone = own.select("id", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    return own.select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+def _counted(batches):
+    total = np.zeros(BINS, np.int64)
+    for b in batches:
+        total += np.bincount(b.column("set").flatten().to_numpy().view(np.uint64) & np.uint64(BINS - 1), minlength=BINS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
+
+
+def _prefixes(sets: DataFrame, p: Params) -> DataFrame:
+    """(id, n, token, at) of the first n - ceil(t n) + 1 shingles of each set, rarest first. Any order does that is the same for all sets; this one goes by counts of BINS hash bins."""
+    counts = sets.mapInArrow(_counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # BINS rows at most
+    rare = np.zeros(BINS, np.int64)
+    rare[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
+    num, den = p.num, p.den
+
+    def run(batches):
+        for b in batches:
+            ids, sizes, tokens, places = [], [], [], []
+            for i, s in zip(b.column("id").to_pylist(), b.column("set")):
+                s = s.values.to_numpy()
+                k = len(s) - -(-num * len(s) // den) + 1
+                first = s[np.lexsort((s, rare[(s.view(np.uint64) & np.uint64(BINS - 1)).astype(np.int64)]))[:k]]
+                ids.append(np.full(k, i, np.int64))
+                sizes.append(np.full(k, len(s), np.int64))
+                tokens.append(first)
+                places.append(np.arange(1, k + 1, dtype=np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, tokens, places)], ["id", "n", "token", "at"])
+
+    return sets.select("id", "set").mapInArrow(run, "id long, n long, token long, at long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,39 +183,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         near = stage.table(_links(pairs, sigs, sets, p, few))
         return stage.table(_confirmed(near, sets, p))
 
-    def fits(shared: str, n: str, other: str):
-        """Whether sets of n and ``other`` shingles, of which ``shared`` at most can be common, may reach the threshold."""
-        return F.expr(f"{shared} * {p.num + p.den} >= {p.num} * ({n} + {other})")
-
     pairs = rows.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     links = verified(stage.table(pairs), False)
     roots = stage.table(_merge(spark, touched.select("id", F.col("id").alias("root")), links, stage))
-    members, done, k, room = rows.select("bucket", "id"), None, 4, None
-    while True:
-        here = members.join(roots, "id")
-        mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        if room is None:
-            here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
-            room = stage.table(_room(sets, here.select("id").distinct()))
-            here = here.join(room, "id")
-        else:
-            here = here.join(mixed, "bucket").join(room, "id")
-        here = stage.table(here.select("bucket", "id", "root", "n", "s"))
-        main = here.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.min("n").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.min("n").alias("least"))
-        apart = here.join(main, "bucket").where("root <> main").where(fits("s", "n", "least"))
-        if done is not None:
-            apart = apart.join(done, ["bucket", "id"], "left_anti")
-        first = Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id")
-        lead = apart.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-        lead = stage.table(lead.select("bucket", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("s").alias("sx")))
-        if lead.isEmpty():
-            break
-        met = lead.join(here, "bucket").where("root <> rx").where(fits("least(s, sx)", "n", "nx"))
-        links = verified(stage.table(met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()), True)
-        old, roots = roots, stage.table(_merge(spark, roots, links, stage))
-        stage.drop(old)
-        tried = lead.select("bucket", F.col("x").alias("id"))
-        done, members, k = tried if done is None else stage.table(done.unionByName(tried)), here.select("bucket", "id"), 4 * k
+    here = rows.select("bucket", "id").join(roots, "id")
+    mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
+    if not here.isEmpty():
+        main = here.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        apart = here.join(main, "bucket").where("root <> main").select("id").distinct()
+        members = stage.table(here.select("id", "root").distinct())
+        prefixes = _prefixes(sets.join(members, "id", "left_semi"), p).join(members, "id")
+        prefixes = stage.table(prefixes.join(apart.withColumn("apart", F.lit(True)), "id", "left").withColumn("apart", F.coalesce("apart", F.lit(False))))
+        x = prefixes.where("apart").select("token", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+        # two sets that reach the threshold share so many shingles that each has one of them among its first n - shared + 1
+        shared = f"ceil({p.num} * (n + nx) / {p.num + p.den})"
+        met = x.join(prefixes, "token").where(F.expr(f"root <> rx AND (NOT apart OR id < x) AND at <= n - {shared} + 1 AND ax <= nx - {shared} + 1"))
+        met = met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
+        links = verified(stage.table(met), True)
+        roots = stage.table(_merge(spark, roots, links, stage))
     roots = roots.select(F.col("id").alias("node"), "root")
     # copies of a set follow their class
     member = classes.select("hi", "lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("root"))
