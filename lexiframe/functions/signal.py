@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -38,24 +43,22 @@ def mono(channels: Column) -> Column:
 
 def normalize_loudness(v: Column, target_dbfs: float = -23.0) -> Column:
     k = F.lit(10 ** (target_dbfs / 20)) / F.greatest(rms(v), F.lit(1e-6))
-    return F.transform(v, lambda x: x.cast("double") * k)
+    return let(k, lambda k: F.transform(v, lambda x: x.cast("double") * k))
 
 
 def normalize_peak(v: Column, level: float = 0.9) -> Column:
     """Scaled to the level; silence stays."""
-    p = F.when(peak(v) == 0, 1.0).otherwise(peak(v).cast("double"))
-    return F.transform(v, lambda x: x.cast("double") / p * level)
+    return let(peak(v).cast("double"), lambda p: F.transform(v, lambda x: x.cast("double") / F.when(p == 0, 1.0).otherwise(p) * level))
 
 
 def normalize_peak_dbfs(v: Column, level: float = -1.0) -> Column:
     k = F.lit(10 ** (level / 20)) / F.greatest(peak(v).cast("double"), F.lit(1e-6))
-    return F.transform(v, lambda x: x.cast("double") * k)
+    return let(k, lambda k: F.transform(v, lambda x: x.cast("double") * k))
 
 
 def clip_to_unit(v: Column) -> Column:
     """Divided by the peak only where that is over 1, as before writing 16-bit samples."""
-    p = F.greatest(peak(v).cast("double"), F.lit(1.0))
-    return F.transform(v, lambda x: x.cast("double") / p)
+    return let(F.greatest(peak(v).cast("double"), F.lit(1.0)), lambda p: F.transform(v, lambda x: x.cast("double") / p))
 
 
 def dbfs(v: Column, floor_added: bool = True) -> Column:
@@ -70,15 +73,17 @@ def snr_db(clean: Column, noisy: Column) -> Column:
 
 
 def pre_emphasis(v: Column, a: float = 0.97) -> Column:
-    d = doubles(v)
-    return F.transform(d, lambda x, i: x - F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * a)
+    return let(doubles(v), lambda d: F.transform(d, lambda x, i: x - F.when(i > 0, F.get(d, i - 1)).otherwise(0.0) * a))
 
 
 def delta(v: Column) -> Column:
     """Slope over two neighbours each side, the ends repeated."""
-    d, n = doubles(v), F.size(v)
-    at = lambda i: F.get(d, F.greatest(F.lit(0), F.least(n - 1, i)))
-    return F.transform(d, lambda x, i: (at(i + 1) - at(i - 1) + 2 * (at(i + 2) - at(i - 2))) / 10)
+
+    def slopes(d: Column) -> Column:
+        at = lambda i: F.get(d, F.greatest(F.lit(0), F.least(F.size(d) - 1, i)))
+        return F.transform(d, lambda x, i: (at(i + 1) - at(i - 1) + 2 * (at(i + 2) - at(i - 2))) / 10)
+
+    return let(doubles(v), slopes)
 
 
 def fit_length(v: Column, n: int) -> Column:
@@ -99,15 +104,21 @@ def frame_energy(v: Column, win: int, hop: int) -> Column:
 def interp_unvoiced(f0: Column) -> Column:
     """Zeros filled linearly between the voiced frames around them, held at the ends; without any voiced frame, 0.001 added."""
     d = doubles(f0)
-    voiced = F.filter(F.transform(d, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] > 0)
 
-    def fill(x: Column, i: Column) -> Column:
-        before = F.element_at(F.filter(voiced, lambda s: s["i"] <= i), -1)
-        after = F.get(F.filter(voiced, lambda s: s["i"] >= i), 0)
-        line = before["x"] + (after["x"] - before["x"]) * F.try_divide((i - before["i"]).cast("double"), after["i"] - before["i"])
-        return F.when(x > 0, x).when(F.size(F.filter(voiced, lambda s: s["i"] <= i)) == 0, after["x"]).when(after.isNull(), before["x"]).otherwise(line)
+    def filled(voiced: Column) -> Column:
+        def fill(x: Column, i: Column) -> Column:
+            n = F.size(F.filter(voiced, lambda s: s["i"] <= i))
+
+            def between(n: Column) -> Column:
+                before, after = F.get(voiced, n - 1), F.get(voiced, n)
+                line = before["x"] + (after["x"] - before["x"]) * F.try_divide((i - before["i"]).cast("double"), after["i"] - before["i"])
+                return F.when(n == 0, after["x"]).when(after.isNull(), before["x"]).otherwise(line)
 
-    return F.when(F.size(voiced) == 0, F.transform(d, lambda x: x + 1e-3)).otherwise(F.transform(d, fill))
+            return F.when(x > 0, x).otherwise(let(n, between))
+
+        return F.when(F.size(voiced) == 0, F.transform(d, lambda x: x + 1e-3)).otherwise(F.transform(d, fill))
+
+    return let(F.filter(F.transform(d, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] > 0), filled)
 
 
 def pick_indices(n: Column, k: int) -> Column:
@@ -119,12 +130,17 @@ def pick_indices(n: Column, k: int) -> Column:
 def interpolate(xs: Column, ys: Column, n: Column) -> Column:
     """Piecewise linear through (xs, ys), xs rising, at 0 to n - 1; held beyond the ends."""
 
-    def at(i: Column) -> Column:
-        k = F.size(F.filter(xs, lambda x: x <= i)) - 1
-        x0, x1, y0, y1 = F.get(xs, k), F.get(xs, k + 1), F.get(ys, k), F.get(ys, k + 1)
-        return F.when(k < 0, F.get(ys, 0)).when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (i - x0) / (x1 - x0))
+    def line(p: Column) -> Column:
+        def at(i: Column) -> Column:
+            def near(k: Column) -> Column:
+                x0, x1, y0, y1 = F.get(p["x"], k), F.get(p["x"], k + 1), F.get(p["y"], k), F.get(p["y"], k + 1)
+                return F.when(k < 0, F.get(p["y"], F.lit(0))).when(x1.isNull(), y0).otherwise(y0 + (y1 - y0) * (i - x0) / (x1 - x0))
+
+            return let(F.size(F.filter(p["x"], lambda x: x <= i)) - 1, near)
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+    return let(F.struct(xs.alias("x"), ys.alias("y")), line)
 
 
 def energy_gain(source: Column, target: Column) -> Column:
@@ -151,8 +167,7 @@ def pitch_ratio(source: Column, target: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.greatest(F.sqrt(squares(v)), F.lit(1e-12))
-    return F.transform(doubles(v), lambda x: x / norm)
+    return let(F.greatest(F.sqrt(squares(v)), F.lit(1e-12)), lambda norm: F.transform(doubles(v), lambda x: x / norm))
 
 
 def dft_power(v: Column, n: int) -> Column:

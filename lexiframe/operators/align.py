@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import signal as S
 
@@ -35,25 +36,25 @@ def dtw(a: np.ndarray, b: np.ndarray, band: float = 0.15) -> tuple[list[tuple[in
     return path[::-1], float(d[n, m])
 
 
-_KIND = "struct<path:array<struct<i:int,j:int>>,cost:double>"
+_KIND = T.StructType([T.StructField("path", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))), T.StructField("cost", T.DoubleType())])
+_ARROW = pa.struct([("path", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))), ("cost", pa.float64())])
 
 
 def dtw_pairs(df: DataFrame, a: str, b: str, band: float = 0.15, out: str = "dtw") -> DataFrame:
     """``df`` with path and cost of two array columns (scalars, or arrays of features); each pair by itself, nothing shuffled. Null or empty gives null."""
 
-    @F.pandas_udf(_KIND)
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(x, y):
-            if p is None or q is None or not len(p) or not len(q):
-                rows.append((None, None))
-                continue
-            path, cost = dtw(np.array([np.asarray(v, float) for v in p]), np.array([np.asarray(v, float) for v in q]), band)
-            rows.append(([{"i": i, "j": j} for i, j in path], cost))
-        return pd.DataFrame(rows, columns=["path", "cost"])
+    def run(batches):
+        for x in batches:
+            got = []
+            for p, q in zip(x.column(a).to_pylist(), x.column(b).to_pylist()):
+                if not p or not q:
+                    got.append(None)
+                    continue
+                path, cost = dtw(np.array(p, float), np.array(q, float), band)
+                got.append({"path": [{"i": i, "j": j} for i, j in path], "cost": cost})
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(got, _ARROW)], [*x.schema.names, out])
 
-    # kept from being merged into expressions that use it, which could not evaluate it
-    return df.withColumn(out, run.asNondeterministic()(F.col(a), F.col(b)))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, _KIND)]))
 
 
 def contour_features(f0: Column, energy: Column) -> Column:
@@ -64,18 +65,21 @@ def contour_features(f0: Column, energy: Column) -> Column:
 def path_means(path: Column, source: Column, n: Column) -> Column:
     """For each target index the mean of the source values that the path joins it with."""
 
-    def mean(j: Column) -> Column:
-        own = F.transform(F.filter(path, lambda p: p["j"] == j), lambda p: F.get(source, p["i"]).cast("double"))
-        return F.try_divide(S.total(own), F.size(own))
+    def means(s: Column) -> Column:
+        def mean(j: Column) -> Column:
+            own = F.transform(F.filter(s["path"], lambda p: p["j"] == j), lambda p: F.get(s["source"], p["i"]).cast("double"))
+            return S.let(own, lambda x: F.try_divide(S.total(x), F.size(x)))
 
-    return F.transform(F.sequence(F.lit(0), n - 1), mean)
+        return F.transform(F.sequence(F.lit(0), n - 1), mean)
+
+    return S.let(F.struct(path.alias("path"), source.alias("source")), means)
 
 
 def warp_contours(df: DataFrame, src_f0: str, src_e: str, tgt_f0: str, tgt_e: str, most: int = 600, band: float = 0.2) -> DataFrame:
     """``df`` with warped_f0 and warped_energy: the source's contours along the path to the target, on the target's frames.
 
     Both are thinned to ``most`` frames for the path, and brought back to all frames by linear interpolation."""
-    at = lambda v, ix: F.transform(ix, lambda i: F.get(v, i))
+    at = lambda v, ix: S.let(v, lambda w: F.transform(ix, lambda i: F.get(w, i)))
     c = F.col
     out = df.withColumn("_si", S.pick_indices(F.size(src_f0), most)).withColumn("_ti", S.pick_indices(F.size(tgt_f0), most))
     out = out.withColumn("_sf", S.interp_unvoiced(c(src_f0))).withColumn("_tf", S.interp_unvoiced(c(tgt_f0)))

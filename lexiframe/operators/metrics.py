@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.signal import let, total
+
 
 def confusion(df: DataFrame, truth: str, pred: str, labels: list[int]) -> DataFrame:
     """(truth, pred, n) for all pairs of the listed labels, zero cells kept."""
@@ -109,10 +111,8 @@ def attention_pool(df: DataFrame, keys: list[str], vec: str, score: Column) -> D
 
 
 def softmax(v: Column) -> Column:
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    share = lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), share))
 
 
 def cross_entropy(logits: Column, label: Column, smoothing: float = 0.05) -> Column:
