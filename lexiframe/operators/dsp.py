@@ -125,7 +125,8 @@ def f0(x: np.ndarray, sr: int = 16000, lo: float = 75.0, hi: float = 400.0, win:
         lags = np.arange(a, b + 1)
         norm = np.sqrt(np.maximum(e[win - lags - 1] * (e[-1] - np.concatenate([[0], e])[lags]), 1e-12))
         r = c[a : b + 1] / norm
-        k = int(r.argmax())
+        k = int(np.flatnonzero(r >= 0.97 * r.max())[0])  # of nearly equal peaks the shortest lag, not a multiple of it
+        k += int(r[k : k + 1 + a // 2].argmax())
         out.append(sr / (a + k) if r[k] > 0.5 else 0.0)
     return np.array(out)
 

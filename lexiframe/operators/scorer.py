@@ -64,10 +64,10 @@ def two_way(p_first: Column, p_second: Column, first: str, second: str) -> Colum
     return F.when(p_first >= p_second, first).otherwise(second)
 
 
-def least_epsilon(x: np.ndarray, scorer: LinearScorer, target: int, steps: int = 18, lo: float = 0.0, hi: float = 0.1, min_snr: float = 40.0) -> tuple[float, bool, float]:
+def least_epsilon(x: np.ndarray, scorer: LinearScorer, target: int, steps: int = 18, lo: float = 1e-5, hi: float = 0.1, min_snr: float = 40.0) -> tuple[float, bool, float]:
     """Bisection for the least signed-gradient step that flips the prediction at ``min_snr`` decibels or more: (epsilon, flipped, snr).
 
-    If no step does, the last upper bound is returned as it is."""
+    A step that flips, but too loudly, moves the search up like one that does not flip. If no step passes, the last upper bound is returned as it is."""
     sign = np.sign(scorer.gradient(x[None], np.array([target]))[0])
 
     def attempt(eps: float) -> tuple[bool, float]:
