@@ -24,7 +24,7 @@ from . import common as C
 from .suffix_sort import suffixes
 
 WINDOW, GRAM = 400, 32
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MEMORY = 96 << 20
 
 
