@@ -28,8 +28,7 @@ _LANES = 2048
 HOT, SALTS = 512, 16
 #: Seeds by which buckets draw their leaders.
 LEADERS = 3
-#: Hash bins by which shingles are ordered; 8 MB on the driver and with each task.
-BINS = 1 << 20
+EARLIER = 64
 
 
 class Params:
@@ -126,36 +125,17 @@ def _merge(spark: SparkSession, roots: DataFrame, links: DataFrame, stage: C.Sta
     return roots.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
 
 
-def _counted(batches):
-    total = np.zeros(BINS, np.int64)
-    for b in batches:
-        total += np.bincount(b.column("set").flatten().to_numpy().view(np.uint64) & np.uint64(BINS - 1), minlength=BINS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bin", "n"])
-
-
 def _prefixes(sets: DataFrame, p: Params) -> DataFrame:
-    """(id, n, token, at) of the first n - ceil(t n) + 1 shingles of each set, rarest first. Any order does that is the same for all sets; this one goes by counts of BINS hash bins."""
-    counts = sets.mapInArrow(_counted, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # BINS rows at most
-    rare = np.zeros(BINS, np.int64)
-    rare[counts.column("bin").to_numpy()] = counts.column("n").to_numpy()
-    num, den = p.num, p.den
-
-    def run(batches):
-        for b in batches:
-            ids, sizes, tokens, places = [], [], [], []
-            for i, s in zip(b.column("id").to_pylist(), b.column("set")):
-                s = s.values.to_numpy()
-                k = len(s) - -(-num * len(s) // den) + 1
-                first = s[np.lexsort((s, rare[(s.view(np.uint64) & np.uint64(BINS - 1)).astype(np.int64)]))[:k]]
-                ids.append(np.full(k, i, np.int64))
-                sizes.append(np.full(k, len(s), np.int64))
-                tokens.append(first)
-                places.append(np.arange(1, k + 1, dtype=np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, tokens, places)], ["id", "n", "token", "at"])
+    """(id, n, room, token, at, earlier) of the first n - ceil(t n) + 1 shingles of each set, rarest among these sets first.
 
-    return sets.select("id", "set").mapInArrow(run, "id long, n long, token long, at long")
+    room: how many shingles of the set any other has. earlier: EARLIER of the shingles before this one, by which a pair is seen to have met before."""
+    every = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("x"))
+    counted = every.join(every.groupBy("x").agg(F.count("*").alias("c")), "x")
+    own = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    own = own.withColumn("room", F.size(F.filter("xs", lambda s: s["c"] > 1)).cast("long"))
+    first = F.slice("xs", 1, F.expr(f"cast(n - ceil({p.num} * n / {p.den}) + 1 as int)"))
+    own = own.select("id", "n", "room", F.transform(first, lambda s: s["x"]).alias("xs")).select("id", "n", "room", "xs", F.posexplode("xs").alias("k", "token"))
+    return own.select("id", "n", "room", "token", (F.col("k") + 1).cast("long").alias("at"), F.slice("xs", 1, F.least(F.col("k"), F.lit(EARLIER))).alias("earlier"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +155,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.struct(draw, "id")).alias("b")).where("n > 1").select("bucket", "b")
     rows = stage.table(rows.join(shared, "bucket").select("bucket", "id", "b"))
     touched = stage.table(rows.select("id").distinct())
-    cand = base.join(touched.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    cand = C.only(base, touched.withColumnRenamed("id", "doc_id"), "doc_id")
     sets = stage.table(cand.mapInArrow(_full_sets(p), "id long, set array<long>").dropDuplicates(["id"]))
     sigs = stage.table(classes.join(touched, "id", "left_semi").select("id", "sig"))
 
@@ -195,10 +175,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
         members = stage.table(here.select("id", "root").distinct())
         prefixes = _prefixes(sets.join(members, "id", "left_semi"), p).join(members, "id")
         prefixes = stage.table(prefixes.join(apart.withColumn("apart", F.lit(True)), "id", "left").withColumn("apart", F.coalesce("apart", F.lit(False))))
-        x = prefixes.where("apart").select("token", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-        # two sets that reach the threshold share so many shingles that each has one of them among its first n - shared + 1
+        x = prefixes.where("apart").select("token", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("room").alias("roomx"), F.col("earlier").alias("earlierx"))
+        # two sets that reach the threshold share so many shingles that each has one of them among its first n - shared + 1, and no more can be shared than are not alone
         shared = f"ceil({p.num} * (n + nx) / {p.num + p.den})"
-        met = x.join(prefixes, "token").where(F.expr(f"root <> rx AND (NOT apart OR id < x) AND at <= n - {shared} + 1 AND ax <= nx - {shared} + 1"))
+        met = x.join(prefixes, "token").where(F.expr(f"root <> rx AND (NOT apart OR id < x) AND least(room, roomx) >= {shared} AND at <= n - {shared} + 1 AND ax <= nx - {shared} + 1 AND NOT arrays_overlap(earlier, earlierx)"))
         met = met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
         links = verified(stage.table(met), True)
         roots = stage.table(_merge(spark, roots, links, stage))
