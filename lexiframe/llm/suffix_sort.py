@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 
 FAR = np.iinfo(np.int32).max
+#: Pairs of suffixes compared at a time, 64 symbols each at most.
+PAIRS = 1 << 15
 
 
 class Queue:
@@ -75,18 +77,22 @@ class Queue:
 
 def types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is of type S; the last symbol is the least and S."""
-    d = np.sign(np.diff(t.astype(np.int32)))
-    at = np.where(d != 0, np.arange(len(d)), len(d))
+    kind = np.int32 if len(t) < 2**31 else np.int64
+    at = np.where(t[1:] != t[:-1], np.arange(len(t) - 1, dtype=kind), kind(len(t) - 1))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
+    del at
     s = np.ones(len(t), bool)
-    s[:-1] = np.append(d, 1)[nxt] > 0
+    s[:-1] = np.append(t[1:] > t[:-1], True)[nxt]
     return s
 
 
 def runs_after(t: np.ndarray) -> np.ndarray:
     """How often each position's symbol repeats from there on."""
-    change = np.append(np.flatnonzero(np.diff(t)), len(t) - 1)
-    return (change[np.searchsorted(change, np.arange(len(t)))] - np.arange(len(t)) + 1).astype(np.int32)
+    kind = np.int32 if len(t) < 2**31 else np.int64
+    here = np.arange(len(t), dtype=kind)
+    end = np.where(np.append(t[1:] != t[:-1], True), here, kind(len(t)))
+    end = np.minimum.accumulate(end[::-1])[::-1]
+    return (np.minimum(end - here, FAR - 1) + 1).astype(np.int32)
 
 
 class _Least:
@@ -201,6 +207,8 @@ def _doubling(names: np.ndarray, steps: int) -> np.ndarray:
 
 def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
     """Common prefixes of the suffixes at a and b, up to ``cap``, by comparing symbols, longer and longer, of pairs not yet told apart."""
+    if len(a) > PAIRS:
+        return np.concatenate([_shared(t, a[i : i + PAIRS], b[i : i + PAIRS], cap) for i in range(0, len(a), PAIRS)])
     n, out = len(t), np.zeros(len(a), np.int32)
     live, step = np.arange(len(a)), 4
     while len(live):
