@@ -14,8 +14,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, by a join that can spill and be split."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    """The rows of ``docs`` whose id is in ``ids``, by a broadcast of few ids, else by a join that can spill and be split."""
+    return common.only(docs.select(*COLUMNS), common.Stage(docs.sparkSession, "kept").table(ids.select("doc_id")), "doc_id").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,18 @@ def ragged(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, kind))
 
 
+#: Ids (8 bytes each) and small rows that are broadcast at most; larger tables are joined by shuffle.
+SMALL_IDS = 500_000
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among ``ids`` (written already), without dealing out the rows if the ids are few enough to be broadcast."""
+    from pyspark.sql import functions as F
+
+    ids = ids.select(key)
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_semi")
+
+
 def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, held_out: tuple[int, int], most: int, seed: int = 11) -> DataFrame:
     """(doc_id, y) of at most ``most`` labelled rows, least hash first; ``held_out`` (m, r): ids whose crc32 mod m is r stay out.
 

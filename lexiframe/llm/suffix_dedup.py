@@ -25,7 +25,7 @@ from .suffix_sort import suffixes
 
 WINDOW, GRAM = 400, 32
 SHARD_BYTES = 4 << 20
-MEMORY = 96 << 20
+MEMORY = 64 << 20
 
 
 def _gram_hash(buf: np.ndarray) -> np.ndarray:
@@ -203,11 +203,14 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     found = whole
     if size:
         lists = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "s", "e", "n")).alias("wanted"))
-        texts = rows.join(lists, "row").dropDuplicates(["row"])
+        texts = C.only(rows, stage.table(wanted.select("row").distinct()), "row").join(lists, "row").dropDuplicates(["row"])
         cut = texts.select("row", "text", "wanted").mapInArrow(_cut, "key long, row long, s long, n long, bytes binary")
         shards = max(1, -(-size // SHARD_BYTES))
         found = found.unionByName(stage.table(cut.repartition(shards, "key").mapInArrow(_sort(window), "row long, s long, e long")))
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = stage.table(found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans")))
+    # few spans go to the texts; many are met by shuffle
+    if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= C.SMALL_IDS:
+        spans = F.broadcast(spans)
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
 
 
