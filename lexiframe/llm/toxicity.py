@@ -244,9 +244,9 @@ def _strongest(lm: np.ndarray, weight: np.ndarray, keep: tuple[str, ...] = ()):
                 order = np.lexsort((-what, who))
                 who, what = who[order], what[order]
                 place = np.arange(len(who)) - np.searchsorted(who, who)
-                out.append(np.bincount(who[place < STRONGEST], what[place < STRONGEST], minlength=len(offs) - 1))
+                out.append(np.bincount(who[place < STRONGEST], what[place < STRONGEST], minlength=len(offs) - 1).astype(np.float64))
             best = pa.array(np.concatenate(out) if out else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), best, *[b.column(c) for c in keep]], ["doc_id", "best", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), best, *[b.column(c) for c in keep]], ["doc_id", "_best", *keep])
 
     return run
 
@@ -283,13 +283,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     weight = np.zeros(BUCKETS, np.float32)
     for r in counts.select("bucket", "n1", bound.alias("w")).where((F.col("n1") >= MIN_DOCS) & (F.col("w") >= MIN_WEIGHT)).toLocalIterator():  # BUCKETS rows at most
         weight[r.bucket] = r.w
-    fold = known.where("fold = 0").select("y", "text").mapInArrow(_strongest(lm, weight), "doc_id int, best double").collect()
-    slope, at_zero = _curve(np.array([r.best for r in fold]), np.array([float(r.doc_id) for r in fold]))
+    fold = known.where("fold = 0").select("y", "text").mapInArrow(_strongest(lm, weight), "doc_id int, _best double").collect()
+    slope, at_zero = _curve(np.array([r._best for r in fold]), np.array([float(r.doc_id) for r in fold]))
     more = tuple(c for c in keep if c != "doc_id")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in more if c != "text"])
-    schema = "doc_id long, best double" + "".join(f", {c} {t}" for c, t in whole.select(*more).dtypes)
+    schema = "doc_id long, _best double" + "".join(f", {c} {t}" for c, t in whole.select(*more).dtypes)
     scored = whole.mapInArrow(_strongest(lm, weight, more), schema)
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("best") + F.lit(at_zero))))
+    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("_best") + F.lit(at_zero))))
     return scored.select("doc_id", C.held_out_flag(*held_out).alias("held_out"), score.alias("score"), *more).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
