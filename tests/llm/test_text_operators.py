@@ -314,3 +314,18 @@ def test_fuzzy_passages(spark):
     assert [got[i].n_links for i in range(9)] == [1, 1, 0, 0, 1, 1, 0, 0, 0]
     assert got[0].passages == [60, 140] and got[1].passages == [20, 100] and got[4].n_shared == got[5].n_shared == 90
     assert chaining.fuzzy_passages(spark, empty(spark)).count() == 0
+
+
+def test_overlapping_passages_link_across_leaders(spark):
+    """a and b share words that end within Q, b and c share Q: whichever row leads, b and c are linked and Q is whole."""
+    texts = []
+    for seed in range(0, 240, 10):  # so many that all orders of rows occur
+        q = words(56, 1000 + seed)
+        first = words(62, 1001 + seed) + q[:28]
+        texts.append(" ".join(words(30, 1002 + seed) + first + words(30, 1003 + seed)))
+        texts.append(" ".join(words(20, 1004 + seed) + first + q[28:] + words(40, 1005 + seed)))
+        texts.append(" ".join(words(35, 1006 + seed) + q + words(35, 1007 + seed)))
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(spark, frame(spark, texts)).collect()}
+    for k in range(0, len(texts), 3):
+        assert [got[k + i].class_id for i in range(3)] == [k, k, k]
+        assert [got[k + i].passages for i in range(3)] == [[30, 120], [20, 138], [35, 91]]
