@@ -329,3 +329,22 @@ def test_overlapping_passages_link_across_leaders(spark):
     for k in range(0, len(texts), 3):
         assert [got[k + i].class_id for i in range(3)] == [k, k, k]
         assert [got[k + i].passages for i in range(3)] == [[30, 120], [20, 138], [35, 91]]
+
+
+def _found(a, b):
+    """Words of a that passages with b cover, by the steps that a pair goes through."""
+    x, y = (np.array([hash(w) & (2**64 - 1) for w in t], np.uint64) for t in (a, b))
+    return sum(p1 - p0 for c in chaining.chains(chaining.matches(x, y)) for p0, p1, _, _ in chaining.passages(c, x, y))
+
+
+def test_passages_with_changed_words_are_found():
+    for k in range(40):
+        for n, every in ((50, 0), (100, 10), (200, 15)):
+            q = words(n, 3000 + k)
+            other = [f"changed{i}" if every and i % every == every // 2 else w for i, w in enumerate(q)]
+            assert _found(words(60, 4000 + k) + q + words(60, 5000 + k), words(80, 6000 + k) + other + words(30, 7000 + k)) >= 0.85 * n
+
+
+def test_chains_reach_the_near_seed_past_a_better_far_one():
+    far, near = [(i, i) for i in range(60)], [(300 + i, 200 + i) for i in range(60)]
+    assert sorted(map(len, chaining.chains(far + near))) == [60, 60]
