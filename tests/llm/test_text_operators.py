@@ -348,3 +348,22 @@ def test_passages_with_changed_words_are_found():
 def test_chains_reach_the_near_seed_past_a_better_far_one():
     far, near = [(i, i) for i in range(60)], [(300 + i, 200 + i) for i in range(60)]
     assert sorted(map(len, chaining.chains(far + near))) == [60, 60]
+
+
+def test_passages_that_recur_in_a_text_are_found_everywhere(spark):
+    q, r = words(70, 20), words(60, 21)
+    twice = words(40, 22) + q + words(50, 23) + q + words(30, 24)
+    quoted = words(20, 25) + r[:20] + words(60, 26) + r[35:55] + words(60, 27) + r + words(20, 28)
+    texts = [" ".join(t) for t in (twice, words(33, 29) + q + words(44, 30), quoted, words(25, 31) + r + words(25, 32))]
+    got = {x.doc_id: x for x in chaining.fuzzy_passages(spark, frame(spark, texts)).collect()}
+    assert [got[i].class_id for i in range(4)] == [0, 0, 2, 2]
+    assert [got[i].passages for i in range(4)] == [[40, 110, 160, 230], [33, 103], [180, 240], [25, 85]]
+
+
+def test_repeats_within_a_text_do_not_multiply():
+    def h(t):
+        return np.array([hash(w) & (2**64 - 1) for w in t], np.uint64)
+
+    line = words(9, 33)
+    m = chaining.matches(h(line * 400 + words(60, 34)), h(words(50, 35) + line * 300))
+    assert len(m) < 60_000 and {(i, 50 + i) for i in range(9 * 300 - 4)} <= set(m)
