@@ -244,9 +244,20 @@ def character_error_rate(spark, sf_dir):
     return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
+def whole_turn_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("hyp")).where("hyp IS NOT NULL")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL AND ref <> ''")
+
+
+@query()
+def character_error_rate_whole(spark, sf_dir):
+    return whole_turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
+
+
 @query()
 def word_error_rate(spark, sf_dir):
-    p = turn_pairs(spark, sf_dir).withColumn("r", X.split_words(F.col("ref"))).withColumn("h", X.split_words(F.col("hyp"))).where(F.size("r") > 0)
+    p = whole_turn_pairs(spark, sf_dir).withColumn("r", X.split_words(F.col("ref"))).withColumn("h", X.split_words(F.col("hyp"))).where(F.size("r") > 0)
     return p.select("conv_id", "turn", F.round(metrics.wer(F.col("r"), F.col("h")), 9).alias("wer"))
 
 

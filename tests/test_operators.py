@@ -163,3 +163,22 @@ def test_plans_prune_and_push(spark, sf_dir):
 
     plan = registry.QUERIES["topk_per_group"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "l_comment" not in plan
+
+
+def test_error_rates_read_whole_turns(spark, tmp_path):
+    from lexiframe.plans.registry import QUERIES
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    turns = ["one two three " * 40, "one two four " * 35 + "fünf é", "é two " * 60]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.wer for r in QUERIES["word_error_rate"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(distance(turns[i - 1].split(), turns[i].split()) / len(turns[i - 1].split()), 9) for i in (1, 2)}
+    got = {r.turn: r.cer for r in QUERIES["character_error_rate_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: round(distance(turns[i - 1], turns[i]) / len(turns[i - 1]), 9) for i in (1, 2)}
