@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 #: A feature needs so many toxic documents, and so strong a bound, to count.
 MIN_DOCS, MIN_WEIGHT = 4, 0.5
 PREFIXES, STRONGEST = (4, 5, 6, 7, 8), 2
-#: Longer strings are keys or addresses, not disguised words.
+#: Longer strings, repeats collapsed, are several words and read with blanks.
 MAX_HIDDEN = 32
 _MASK = C.U64(BUCKETS - 1)
 
@@ -107,27 +107,39 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def decode(token: str, lm: np.ndarray) -> str:
-    """The likeliest reading: Viterbi over states of the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+def decode(token: str, lm: np.ndarray, split: bool = False) -> str:
+    """The likeliest reading, with blanks put in if ``split``: Viterbi over states of the last two symbols."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for k, options in enumerate(lattice(token)):
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        if split and k:
+            options = options + [(" " + s, cost) for s, cost in options]
         for (a, b), (score, text) in best.items():
             for s, cost in options:
                 x, y, total = a, b, score + cost
                 for ch in s:
-                    z = ord(ch) - 96 if "a" <= ch <= "z" else 27
+                    z = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
                     total += lm[x, y, z]
                     x, y = y, z
                 if (x, y) not in new or total > new[x, y][0]:
-                    new[x, y] = (total, text + s)
+                    new[x, y] = (total, (text, s))
         best = new
-    return max(((score + lm[a, b, 0], text) for (a, b), (score, text) in best.items()), default=(0.0, ""))[1]
+    (a, b), (_, text) = max(best.items(), key=lambda x: x[1][0] + lm[x[0][0], x[0][1], 0])
+    out = []
+    while text:  # readings are linked backwards, so that long ones are not copied at each step
+        text, s = text
+        out.append(s)
+    return "".join(reversed(out))
+
+
+def collapsed(token: str) -> str:
+    """The token with runs of a character cut to two, all that a reading keeps."""
+    return re.sub(r"(.)\1{2,}", r"\1\1", token)
 
 
 def hidden(token: str) -> bool:
     """Whether a word, lowered and trimmed, looks disguised."""
-    if not 3 <= len(token) <= MAX_HIDDEN or not re.search("[a-z]", token):
+    if len(token) < 3 or not re.search("[a-z]", token):
         return False
     return bool(_REPEATED.search(token) or (any(c in LEET for c in token) and re.search(r"[a-z][^a-z]+[a-z]|^[^a-z\s]+[a-z]{2}|[a-z]{2}[^a-z\s]$", token)))
 
@@ -135,13 +147,18 @@ def hidden(token: str) -> bool:
 def restored(text: str, words: list[str], lm: np.ndarray, cache) -> list[str]:
     out = []
     for m in _SPACED.finditer(text):
-        s = re.sub(r"[ .\-_*]", "", m[1]).lower()
-        if 3 <= len(s) <= MAX_HIDDEN:
-            out.append(cache(s))
+        run = m[1].lower()
+        s = re.sub(r"[ .\-_*]", "", run)
+        if len(s) < 3:
+            continue
+        parts = [x for x in (re.sub(r"[ .\-_*]", "", x) for x in re.split(r"[ .\-_*]{2}", run)) if len(x) >= 3]
+        tokens = ([s] if len(collapsed(s)) <= MAX_HIDDEN else []) + [x for x in parts if len(collapsed(x)) <= MAX_HIDDEN]
+        read = [cache(x) for x in tokens] + cache(s, True).split()
+        out += dict.fromkeys(read)  # a word that several readings have counts once
     for w in words:
         t = re.sub(r"([^A-Za-z0-9])\1+$", "", w.strip(_TRIM)).lower()
         if hidden(t):
-            out.append(cache(t))
+            out.append(cache(t, len(collapsed(t)) > MAX_HIDDEN))
     return out
 
 
@@ -156,7 +173,7 @@ def _suspicious(buf: np.ndarray, w: C.Words) -> tuple[np.ndarray, np.ndarray]:
         triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & _LETTER[buf[2:]]
     tripled = many(triple)
     size = w.end - w.start
-    odd = (n(letters) > 0) & ((n(signs) > 0) | (n(tripled) > 0)) & (size <= MAX_HIDDEN + 8)
+    odd = (n(letters) > 0) & ((n(signs) > 0) | (n(tripled) > 0))
     strung = (size == 1) & (_LETTER[buf[w.start]] | _LOOKALIKE[buf[w.start]]) if len(size) else np.zeros(0, bool)
     run = strung.copy()
     if len(run) > 2:
@@ -166,13 +183,13 @@ def _suspicious(buf: np.ndarray, w: C.Words) -> tuple[np.ndarray, np.ndarray]:
     else:
         run[:] = False
     joints = many(_JOINT[buf])
-    run |= (n(joints) >= 2) & (size <= 3 * MAX_HIDDEN)
+    run |= n(joints) >= 2
     return odd, run
 
 
 def _texts(column: pa.Array, lm: np.ndarray):
     """(lowered bytes, offsets, restored strings of each text) of some texts at a time."""
-    cache = lru_cache(100_000)(lambda t: decode(t, lm))
+    cache = lru_cache(100_000)(lambda t, split=False: decode(t, lm, split))
     for _, _, buf, offs in C.texts(column, lower=False):
         w = C.Words(buf, offs, C.SPACE)
         odd, run = _suspicious(buf, w)

@@ -367,3 +367,12 @@ def test_repeats_within_a_text_do_not_multiply():
     line = words(9, 33)
     m = chaining.matches(h(line * 400 + words(60, 34)), h(words(50, 35) + line * 300))
     assert len(m) < 60_000 and {(i, 50 + i) for i in range(9 * 300 - 4)} <= set(m)
+
+
+def test_long_disguises_are_restored(spark):
+    plain = ["you are a stupid fool and nobody wants to read your stupid words here again"] * 30 + ["the weather is fine and we go home now to read a good book there"] * 30
+    lm = toxicity.character_model(frame(spark, plain))
+    texts = pa.array(["so: " + " ".join("you are a stupid fool and nobody wants to read".replace(" ", "")) + " !", "what a st" + "u" * 60 + "pid idea", " ".join("youareafool")])
+    (_, _, fixed), *_ = toxicity._texts(texts, lm)
+    assert {"stupid", "fool", "nobody"} <= set(fixed[0].split())
+    assert "stupid" in fixed[1].split() and "fool" in fixed[2].split()
