@@ -13,20 +13,32 @@ from lexiframe.llm import common, decontam, mixing, near_dedup, pii, toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, by a broadcast of few ids, else by a join that can spill and be split."""
-    return common.only(docs.select(*COLUMNS), common.Stage(docs.sparkSession, "kept").table(ids.select("doc_id")), "doc_id").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(spark, docs, common.read(spark, sf_dir, "labels", "doc_id", "toxic"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row: its id, or where that is null or repeated, a hash of the row beyond usual ids. Of equal rows one stays."""
+    docs, stage = docs.select(*COLUMNS), common.Stage(spark, "rows")
+    again = stage.table(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
+    alone = docs.withColumn("key", F.col("doc_id").cast("long"))
+    if again.isEmpty():
+        return alone
+    known = again.where("doc_id IS NOT NULL")
+    known = F.broadcast(known) if known.count() <= common.SMALL_IDS else known
+    odd = docs.where("doc_id IS NULL").unionByName(docs.join(known, "doc_id", "left_semi").select(*COLUMNS)).dropDuplicates()
+    far = F.shiftrightunsigned(F.xxhash64(*[F.struct(F.col(c), F.col(c).isNull()) for c in COLUMNS]), 2).bitwiseOR(F.lit(1 << 62))
+    alone = alone.where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti")
+    return stage.table(alone.select(*COLUMNS, "key").unionByName(odd.withColumn("key", far)))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8 or more."""
-    found = near_dedup.near_duplicates(spark, docs, near_dedup.Params(width=5, threshold=(80, 100)))
-    return _only(docs, found.where("kept"))
+    """Shingles of five words, similarity 0.8 or more. Rows without an id, or that share one, are told apart by a key."""
+    rows = _keyed(spark, docs)
+    found = near_dedup.near_duplicates(spark, rows, near_dedup.Params(width=5, threshold=(80, 100)), id_col="key")
+    kept = common.Stage(spark, "kept").table(found.where("kept").select(F.col("doc_id").alias("key")))
+    return common.only(rows, kept, "key").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

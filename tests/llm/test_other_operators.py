@@ -112,3 +112,11 @@ def test_pipeline_keeps_clean_documents_and_schema(spark, sf_dir):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in last} <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert json.dumps([r.doc_id for r in last[:3]])
+
+
+def test_pipeline_tells_rows_without_a_single_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(2)), (2, text(2)), (3, text(3)), (3, text(1)), (None, text(4)), (None, text(5)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (None, text(5)), (None, None)], key=repr)
