@@ -6,6 +6,8 @@ bucket all classes are compared with the bucket's leader, never with each other:
 drawn by three seeds, dealt over the bands, so that a class seldom has one leader only. (4) What the verified links join is one component. A bucket
 whose members are of one component is done. Members outside the main component of another bucket meet the sets of all such buckets by prefixes:
 of two sets that reach the threshold, each has a common shingle among its few rarest, so that a set meets others that share its rare shingles, not its whole group.
+A set with too few shingles that any other of these has can reach no threshold and meets none. Those that meet are told apart by parity bitmaps: two sets differ in as many
+shingles as their bitmaps differ in bits, or more, so that no pair beyond a link's difference goes further.
 So every pair of different sets that share a band is compared, unless already joined by links or proven apart. (5) Components by large-star and small-star.
 
 With similarity s a pair shares a band with probability 1 - (1 - s^5)^25, over 0.999999 at 0.85.
@@ -28,7 +30,8 @@ _LANES = 2048
 HOT, SALTS = 512, 16
 #: Seeds by which buckets draw their leaders.
 LEADERS = 3
-EARLIER = 64
+#: 64-bit words of a parity bitmap.
+MAP_WORDS = 16
 
 
 class Params:
@@ -71,18 +74,25 @@ def _signatures(p: Params):
                 hi.append(int.from_bytes(digest[:8], "big", signed=True))
                 lo.append(int.from_bytes(digest[8:], "big", signed=True))
                 m = p.minima(s) if len(s) else np.zeros(0, np.uint64)
-                sig.append(m.astype(np.uint32).view(np.int32))
+                sig.append((m >> C.U64(16)).astype(np.uint16).view(np.int16))  # equal minima stay equal
                 keys.append(C.signed(p.keys(m)) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), C.ragged(sig, pa.int32()), C.ragged(keys, pa.int64())], ["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), C.ragged(sig, pa.int16()), C.ragged(keys, pa.int64())], ["doc_id", "n_shingles", "hi", "lo", "sig", "bands"])
 
     return run
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap in which each shingle turns one bit. Sets that differ in d shingles have bitmaps that differ in d bits at most."""
+    h = C.mix(s)
+    odd = np.bincount((h % C.U64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _full_sets(p: Params):
     def run(batches):
         for b in batches:
             sets = list(_sets(b.column(1), p.width))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), C.ragged([C.signed(s) for s in sets], pa.int64())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), C.ragged([C.signed(s) for s in sets], pa.int64()), C.ragged([parity(s) for s in sets], pa.int64())], ["id", "set", "map"])
 
     return run
 
@@ -95,7 +105,7 @@ def _with_hot(pairs: DataFrame, side: DataFrame, key: str, value: str, name: str
     return marked.join(salted.withColumnRenamed("id", key), [key, "salt"]).drop("salt")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, p: Params, few: bool) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, p: Params, few: bool) -> DataFrame:
     """(a, b) of the distinct pairs that reach the threshold: by signatures first, six standard errors below it, then on full sets."""
     t, lanes = p.num / p.den, p.bands * p.rows
     least = int(lanes * max(0.0, t - 6 * (t * (1 - t) / lanes) ** 0.5))
@@ -126,16 +136,18 @@ def _merge(spark: SparkSession, roots: DataFrame, links: DataFrame, stage: C.Sta
 
 
 def _prefixes(sets: DataFrame, p: Params) -> DataFrame:
-    """(id, n, room, token, at, earlier) of the first n - ceil(t n) + 1 shingles of each set, rarest among these sets first.
+    """(id, n, room, map, token, at) of the first n - ceil(t n) + 1 shingles of each set, rarest among these sets first.
 
-    room: how many shingles of the set any other has. earlier: EARLIER of the shingles before this one, by which a pair is seen to have met before."""
+    room: how many shingles of the set any other has. Shingles that no other has are counted in ``at`` but left out, and so are sets whose room is below the
+    least that a link shares, t n."""
     every = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("x"))
-    counted = every.join(every.groupBy("x").agg(F.count("*").alias("c")), "x")
-    own = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("xs"))
-    own = own.withColumn("room", F.size(F.filter("xs", lambda s: s["c"] > 1)).cast("long"))
-    first = F.slice("xs", 1, F.expr(f"cast(n - ceil({p.num} * n / {p.den}) + 1 as int)"))
-    own = own.select("id", "n", "room", F.transform(first, lambda s: s["x"]).alias("xs")).select("id", "n", "room", "xs", F.posexplode("xs").alias("k", "token"))
-    return own.select("id", "n", "room", "token", (F.col("k") + 1).cast("long").alias("at"), F.slice("xs", 1, F.least(F.col("k"), F.lit(EARLIER))).alias("earlier"))
+    counted = every.join(every.groupBy("x").agg(F.count("*").alias("c")).where("c > 1"), "x")
+    own = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("xs")).withColumn("room", F.size("xs").cast("long"))
+    own = own.where(F.expr(f"{p.den} * room >= {p.num} * n"))
+    first = F.slice("xs", 1, F.expr(f"cast(greatest(0, room - ceil({p.num} * n / {p.den}) + 1) as int)"))
+    own = own.select("id", "n", "room", F.transform(first, lambda s: s["x"]).alias("xs"))
+    own = own.select("id", "n", "room", F.posexplode("xs").alias("k", "token")).withColumn("at", F.expr("n - room + k + 1")).drop("k")
+    return own.join(sets.select("id", "map"), "id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,41 +159,52 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: Params | None
     p = params or Params()
     stage = C.Stage(spark, "near")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = stage.table(base.mapInArrow(_signatures(p), "doc_id long, n_shingles long, hi long, lo long, sig array<int>, bands array<long>"))
+    seen = stage.table(base.mapInArrow(_signatures(p), "doc_id long, n_shingles long, hi long, lo long, sig array<smallint>, bands array<long>"))
     some = seen.where("n_shingles > 0 and doc_id is not null")
     classes = stage.table(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig")))
-    rows = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    every = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
     draw = F.xxhash64("id", F.col("band") % LEADERS)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.struct(draw, "id")).alias("b")).where("n > 1").select("bucket", "b")
-    rows = stage.table(rows.join(shared, "bucket").select("bucket", "id", "b"))
+    shared = stage.table(every.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.struct(draw, "id")).alias("b")).where("n > 1").select("bucket", "b"))
+    rows = stage.table(every.drop("band").join(shared, "bucket"))  # both sides are dealt out for the join alone, so that a hot bucket can be split
+    stage.drop(shared)
     touched = stage.table(rows.select("id").distinct())
     cand = C.only(base, touched.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = stage.table(cand.mapInArrow(_full_sets(p), "id long, set array<long>").dropDuplicates(["id"]))
+    sets = stage.table(cand.mapInArrow(_full_sets(p), "id long, set array<long>, map array<long>").dropDuplicates(["id"]))
     sigs = stage.table(classes.join(touched, "id", "left_semi").select("id", "sig"))
 
     def verified(pairs: DataFrame, few: bool) -> DataFrame:
-        near = stage.table(_links(pairs, sigs, sets, p, few))
-        return stage.table(_confirmed(near, sets, p))
-
-    pairs = rows.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    links = verified(stage.table(pairs), False)
+        pairs = stage.table(pairs)
+        near = stage.table(_links(pairs, sigs, p, few))
+        stage.drop(pairs)
+        links = stage.table(_confirmed(near, sets, p))
+        stage.drop(near)
+        return links
+
+    links = verified(rows.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct(), False)
     roots = stage.table(_merge(spark, touched.select("id", F.col("id").alias("root")), links, stage))
-    here = rows.select("bucket", "id").join(roots, "id")
-    mixed = here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    here = stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
+    here = stage.table(rows.select("bucket", "id").join(roots, "id"))
+    stage.drop(rows)
+    mixed = stage.table(here.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"))
+    old, here = here, stage.table(here.join(mixed, "bucket").select("bucket", "id", "root"))
+    stage.drop(old)
     if not here.isEmpty():
-        main = here.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+        main = stage.table(here.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main")))
         apart = here.join(main, "bucket").where("root <> main").select("id").distinct()
         members = stage.table(here.select("id", "root").distinct())
         prefixes = _prefixes(sets.join(members, "id", "left_semi"), p).join(members, "id")
         prefixes = stage.table(prefixes.join(apart.withColumn("apart", F.lit(True)), "id", "left").withColumn("apart", F.coalesce("apart", F.lit(False))))
-        x = prefixes.where("apart").select("token", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("room").alias("roomx"), F.col("earlier").alias("earlierx"))
-        # two sets that reach the threshold share so many shingles that each has one of them among its first n - shared + 1, and no more can be shared than are not alone
+        x = prefixes.where("apart").select("token", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("room").alias("roomx"), F.col("map").alias("mapx"))
+        # two sets that reach the threshold share so many shingles that each has one of them among its first n - shared + 1, no more can be shared than are
+        # not alone, and what they do not share is all that their bitmaps may differ in
         shared = f"ceil({p.num} * (n + nx) / {p.num + p.den})"
-        met = x.join(prefixes, "token").where(F.expr(f"root <> rx AND (NOT apart OR id < x) AND least(room, roomx) >= {shared} AND at <= n - {shared} + 1 AND ax <= nx - {shared} + 1 AND NOT arrays_overlap(earlier, earlierx)"))
-        met = met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct()
-        links = verified(stage.table(met), True)
+        differ = " + ".join(f"bit_count(map[{k}] ^ mapx[{k}])" for k in range(MAP_WORDS))
+        met = x.join(prefixes, "token").where(F.expr(f"root <> rx AND (NOT apart OR id < x) AND least(room, roomx) >= {shared} AND at <= n - {shared} + 1 AND ax <= nx - {shared} + 1 AND {differ} <= n + nx - 2 * {shared}"))
+        links = verified(met.select(F.greatest("id", "x").alias("a"), F.least("id", "x").alias("b")).distinct(), True)
+        stage.drop(prefixes)
         roots = stage.table(_merge(spark, roots, links, stage))
+    stage.drop(here)
+    stage.drop(sets)
+    stage.drop(sigs)
     roots = roots.select(F.col("id").alias("node"), "root")
     # copies of a set follow their class
     member = classes.select("hi", "lo", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("hi", "lo", F.coalesce("root", "id").alias("root"))
