@@ -27,6 +27,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def leading(text: Column, n: Column) -> Column:
+    """The first ``n`` words of a text, with the white space before each."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def weight(level: Column, weights: dict[str, int], other: int) -> Column:
     return reduce(lambda out, kv: F.when(level == kv[0], kv[1]).otherwise(out), sorted(weights.items()), F.lit(other)).cast("long")
 
@@ -47,14 +52,17 @@ def allocate(leaves: DataFrame, levels: list[str], weights: list[Column], budget
     return out
 
 
-def mix(spark: SparkSession, docs: DataFrame, levels: list[str], weights: list[Column], share: float = SHARE, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, levels: list[str], weights: list[Column], share: float = SHARE, budget: int | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(doc_id, levels..., n_tokens, epochs, cut, taken): rows of which something is taken, ``epochs`` times whole and ``cut`` leading tokens once more.
 
+    ``with_text`` adds ``text``: whole where a row is taken whole at least once, else its first ``cut`` tokens (words without ASCII white space) as they stand.
+
     ``budget`` tokens, or ``share`` of all. Level values that are null count as the empty string. Rows without tokens (null or empty texts) carry nothing and
     are left out, as are nodes of weight 0. Rows that repeat an id are taken each; alike ones tie, and count as equal. An empty table gives an empty one."""
     stage = C.Stage(spark, "mix")
     n = tokens if tokens is not None else words(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels], n.alias("n_tokens"))
+    texts = [F.col(text_col).alias("_text")] if with_text else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in levels], n.alias("n_tokens"), *texts)
     rows = stage.table(rows.where("n_tokens > 0"))
     sizes = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("size")).withColumn("cap", F.col("size") * max_epochs)
     total = F.lit(budget) if budget is not None else F.floor(F.lit(share) * F.lit(rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]))
@@ -74,7 +82,9 @@ def mix(spark: SparkSession, docs: DataFrame, levels: list[str], weights: list[C
     order = Window.partitionBy(*levels).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = keyed.where("`range` = end").withColumn("cut", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before") - F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))).cast("long"))
     out = whole.unionByName(none).unionByName(edge).withColumn("taken", (F.col("epochs") * F.col("n_tokens") + F.col("cut")).cast("long"))
-    return out.where("taken > 0").select("doc_id", *levels, "n_tokens", "epochs", "cut", "taken")
+    if with_text:
+        texts = [F.when((F.col("epochs") > 0) | (F.col("cut") == F.col("n_tokens")), F.col("_text")).otherwise(leading(F.col("_text"), F.col("cut"))).alias("text")]
+    return out.where("taken > 0").select("doc_id", *levels, "n_tokens", "epochs", "cut", "taken", *texts)
 
 
 #: The query's tree: four domains by the number in a source's name, then language, then source.
@@ -87,9 +97,9 @@ def with_domain(docs: DataFrame) -> DataFrame:
     return docs.withColumn("domain", F.concat(F.lit("d"), F.when(digits == "", F.lit(3)).otherwise(F.expr("try_cast(regexp_extract(coalesce(source, ''), '([0-9]{1,9})', 1) as int)") % 4).cast("string")))
 
 
-def corpus_mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def corpus_mix(spark: SparkSession, docs: DataFrame, with_text: bool = False) -> DataFrame:
     levels = ["domain", "lang", "source"]
-    return mix(spark, with_domain(docs), levels, [weight(F.col("domain"), DOMAIN, 1), weight(F.col("lang"), LANG, 1), F.lit(1).cast("long")])
+    return mix(spark, with_domain(docs), levels, [weight(F.col("domain"), DOMAIN, 1), weight(F.col("lang"), LANG, 1), F.lit(1).cast("long")], with_text=with_text)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
