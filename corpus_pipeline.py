@@ -1,7 +1,11 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, and mixing to target weights.
 
 Every stage reads what the one before has written. The first three leave documents out, the fourth masks personal data in the texts of all, and the
-last returns the documents that the mixture takes, how often and how far."""
+last returns the documents that the mixture takes, with their texts, how often and how far.
+
+All but the last return the columns of ``documents`` as they are and leave other columns out. Any column may be null. Null and empty texts are neither toxic nor
+duplicates nor contaminated and hold no personal data; the mixture, which takes tokens, leaves them out. Rows that share an id are judged each by its text; of rows equal in
+all columns near duplicates keep one. Texts of any length are read whole. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator predicts to be toxic go. Where no label is given to learn from, all stay."""
     scored = toxicity.toxicity(spark, docs, common.read(spark, sf_dir, "labels", "doc_id", "toxic"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
@@ -42,18 +47,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item as long as a window go, however long they are; for items that are shorter, and may occur by chance, the
+    operator's rule holds: a twentieth of a document's words."""
     hits = decontam.benchmark_hits(docs, common.read(spark, sf_dir, "benchmark", "item_id", "text"), keep=COLUMNS)
-    return decontam.report(hits, COLUMNS).where("NOT contaminated").select(*COLUMNS)
+    run = F.exists(F.sequence(F.lit(1), F.size("hits") / 2), lambda k: F.get("hits", 2 * k.cast("int") - 1) - F.get("hits", 2 * k.cast("int") - 2) >= decontam.WIDTH)
+    told = decontam.report(hits.withColumn("passage", (F.size("hits") > 0) & run), (*COLUMNS, "passage"))
+    return told.where("NOT contaminated AND NOT passage").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; spans of personal data are masked by kind, and n_chars is that of the masked text. A null text stays null."""
     found = pii.personal_data(spark, docs.select("doc_id", "text", "lang", "source"), keep=("text", "lang", "source"))
     masked = found.withColumn("text", F.when(F.col("text").isNotNull(), pii.redact(found, F.col("text"))))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.corpus_mix(spark, docs)
+    """(doc_id, domain, lang, source, n_tokens, epochs, cut, taken, text, n_chars) of the documents that the mixture takes: ``epochs`` times whole, and ``cut`` leading tokens
+    once more; the text of one that is never taken whole is cut there. A null source or language counts as the empty string."""
+    return mixing.corpus_mix(spark, docs, with_text=True).withColumn("n_chars", F.length("text").cast("long"))
 
 
 STAGES = [
@@ -64,7 +76,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Learned scores are not expressed in SQL; tests hold the pipeline against its stages' brute force.
+#: Learned scores are not expressed in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
