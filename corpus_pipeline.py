@@ -50,8 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that hold a passage of a benchmark item as long as a window go, however long they are; for items that are shorter, and may occur by chance, the
     operator's rule holds: a twentieth of a document's words."""
     hits = decontam.benchmark_hits(docs, common.read(spark, sf_dir, "benchmark", "item_id", "text"), keep=COLUMNS)
-    run = F.exists(F.sequence(F.lit(1), F.size("hits") / 2), lambda k: F.get("hits", 2 * k.cast("int") - 1) - F.get("hits", 2 * k.cast("int") - 2) >= decontam.WIDTH)
-    told = decontam.report(hits.withColumn("passage", (F.size("hits") > 0) & run), (*COLUMNS, "passage"))
+    lengths = F.transform("hits", lambda x, i: F.when(i % 2 == 1, x - F.get("hits", i - 1)).otherwise(0))
+    told = decontam.report(hits.withColumn("passage", F.exists(lengths, lambda n: n >= decontam.WIDTH)), (*COLUMNS, "passage"))
     return told.where("NOT contaminated AND NOT passage").select(*COLUMNS)
 
 
