@@ -279,28 +279,41 @@ def test_repeated_substrings_equal_brute_force(spark):
     assert suffix_dedup.repeated_substrings(spark, empty(spark)).count() == 0
 
 
+def _score(chain):
+    cost = sum(y[0] - x[0] - x[2] + 1 + y[1] - x[1] - x[2] + 1 for x, y in zip(chain, chain[1:]))
+    return sum(x[2] for x in chain) - chaining.GAP_COST * cost
+
+
 def test_chains_equal_quadratic_search():
     r = random.Random(5)
-    for _ in range(60):
-        m = sorted({(r.randrange(60), r.randrange(60)) for _ in range(r.randint(3, 25))})
-        best = {}
-        for k, (p, q) in enumerate(m):
-            before = [(best[i] - chaining.GAP_COST * (p - m[i][0] + q - m[i][1]), i) for i in range(k) if m[i][0] < p and m[i][1] < q]
-            gain, i = max(before, default=(0, -1))
-            best[k] = 1 + (gain if gain > 0 and p - m[i][0] <= chaining.GAP and q - m[i][1] <= chaining.GAP else 0)
+    for _ in range(200):
+        m = sorted({(r.randrange(90), r.randrange(90)): r.randint(1, 6) for _ in range(r.randint(3, 30))}.items())
+        m = [(p, q, n) for (p, q), n in m]
+        best = []
+        for p, q, n in m:
+            gaps = [(s, p - x - k + 1, q - y - k + 1) for s, (x, y, k) in zip(best, m)]
+            best.append(n + max([0.0] + [s - chaining.GAP_COST * (i + j) for s, i, j in gaps if 0 < i <= chaining.GAP and 0 < j <= chaining.GAP]))
         got = chaining.chains(m)
         for c in got:
-            assert all(a[0] < b[0] and a[1] < b[1] and b[0] - a[0] <= chaining.GAP and b[1] - a[1] <= chaining.GAP for a, b in zip(c, c[1:]))
+            assert all(0 < y[i] - x[i] - x[2] + 1 <= chaining.GAP for x, y in zip(c, c[1:]) for i in (0, 1))
         assert len({x for c in got for x in c}) == sum(map(len, got))
-        tree = chaining.Fenwick(10)
-        for i in (7, 2, 9, 2):
-            tree.put(i, (float(i % 5), i))
-        assert tree.below(8) == max([(7 % 5.0, 7), (2.0, 2)])
+        if max(best) >= chaining.MIN_SEEDS + 1:
+            assert abs(max(map(_score, got)) - max(best)) < 1e-9
+
+
+def test_anchors_are_all_runs_of_shared_shingles():
+    r = random.Random(6)
+    for _ in range(100):
+        a, b = ([r.choice("abcdefgh") for _ in range(r.randint(0, 60))] for _ in range(2))
+        g, h = (np.array([hash(tuple(t[i : i + 3])) & (2**64 - 1) for i in range(max(0, len(t) - 2))], np.uint64) for t in (a, b))
+        got = {(p + k, q + k) for p, q, n in chaining.anchors(g, h) for k in range(n)}
+        assert got == {(p, q) for p in range(len(g)) for q in range(len(h)) if g[p] == h[q]}
 
 
 def test_alike_counts_kept_words():
-    a, b = np.array([1, 2, 3, 4, 5]), np.array([1, 9, 3, 5])
-    assert chaining.alike(a, b) == 3 and chaining.alike(a, a) == 5 and chaining.alike(a, a[:0]) == 0
+    a, b = [1, 2, 3, 4, 5], [1, 9, 3, 5]
+    assert chaining.alike(a, b) == 3 and chaining.alike(a, a) == 5 and chaining.alike(a, []) == 0
+    assert chaining.alike([7], [1, 7]) == 1 and chaining.alike([1, 7], [8]) == 0
 
 
 def test_fuzzy_passages(spark):
@@ -331,10 +344,48 @@ def test_overlapping_passages_link_across_leaders(spark):
         assert [got[k + i].passages for i in range(3)] == [[30, 120], [20, 138], [35, 91]]
 
 
+def _hashes(t):
+    return np.array([zlib.crc32(w.encode()) for w in t], np.uint32)
+
+
 def _found(a, b):
     """Words of a that passages with b cover, by the steps that a pair goes through."""
-    x, y = (np.array([hash(w) & (2**64 - 1) for w in t], np.uint64) for t in (a, b))
-    return sum(p1 - p0 for c in chaining.chains(chaining.matches(x, y)) for p0, p1, _, _ in chaining.passages(c, x, y))
+    return sum(p1 - p0 for p0, p1, _, _ in chaining.shared_passages(_hashes(a), _hashes(b)))
+
+
+def test_passages_equal_brute_force_over_all_pairs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    ids = sorted(i for i, t in texts.items() if len(t) >= chaining.WORDS)
+    hashed = {i: _hashes(texts[i]) for i in ids}
+    seeds = {i: chaining.seeds(hashed[i]) for i in ids}
+    parent, covered = {i: i for i in texts}, {i: set() for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            for p0, p1, q0, q1 in chaining.compared(hashed[b], hashed[a], seeds[b], seeds[a]):
+                covered[b].update(range(p0, p1))
+                covered[a].update(range(q0, q1))
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(spark, docs).collect()}
+    assert {i: r.class_id for i, r in got.items()} == {i: find(i) for i in texts}
+    assert {i for i, r in got.items() if r.n_links} == {i for i, c in covered.items() if c}
+    assert sum(r.n_shared for r in got.values()) >= 0.97 * sum(map(len, covered.values()))
+
+
+def test_links_count_holders_of_a_passage(spark):
+    q = words(80, 40)
+    texts = [words(30 + k, 41 + k) + q + words(30, 61 + k) for k in range(5)] + [words(30, 81) + q[:52] + words(30, 82), words(30, 83) + q[25:] + words(30, 84)]
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(spark, frame(spark, [" ".join(t) for t in [*texts, texts[0]]])).collect()}
+    # five texts and a copy hold all of it, one its first 52 words, one its last 55: these two share 27
+    assert [got[i].n_links for i in range(8)] == [7, 7, 7, 7, 7, 6, 6, 7]
+    assert {r.class_id for r in got.values()} == {0}
 
 
 def test_passages_with_changed_words_are_found():
@@ -346,8 +397,8 @@ def test_passages_with_changed_words_are_found():
 
 
 def test_chains_reach_the_near_seed_past_a_better_far_one():
-    far, near = [(i, i) for i in range(60)], [(300 + i, 200 + i) for i in range(60)]
-    assert sorted(map(len, chaining.chains(far + near))) == [60, 60]
+    far, near = [(0, 0, 60), (62, 500, 5)], [(300, 200, 30), (333, 233, 30)]
+    assert sorted(map(len, chaining.chains(sorted(far + near)))) == [1, 1, 2]
 
 
 def test_passages_that_recur_in_a_text_are_found_everywhere(spark):
@@ -361,12 +412,13 @@ def test_passages_that_recur_in_a_text_are_found_everywhere(spark):
 
 
 def test_repeats_within_a_text_do_not_multiply():
-    def h(t):
-        return np.array([hash(w) & (2**64 - 1) for w in t], np.uint64)
-
     line = words(9, 33)
-    m = chaining.matches(h(line * 400 + words(60, 34)), h(words(50, 35) + line * 300))
-    assert len(m) < 60_000 and {(i, 50 + i) for i in range(9 * 300 - 4)} <= set(m)
+    g, h = (chaining.seeds(_hashes(t)) for t in (line * 400 + words(60, 34), words(50, 35) + line * 300))
+    m = chaining.anchors(g, h)
+    assert len(m) < 1000 and (0, 50, 9 * 300 - 4) in m
+    # a passage around a line that both texts repeat elsewhere
+    q = words(30, 36) + line + words(30, 37)
+    assert _found((line + words(3, 38)) * 20 + q + words(20, 39), words(25, 50) + (line + words(2, 51)) * 15 + words(40, 52) + q) >= 69
 
 
 def test_long_disguises_are_restored(spark):
