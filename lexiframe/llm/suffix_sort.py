@@ -205,11 +205,34 @@ def _doubling(names: np.ndarray, steps: int) -> np.ndarray:
     return order
 
 
-def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of the suffixes at a and b, up to ``cap``, by comparing symbols, longer and longer, of pairs not yet told apart."""
+def _packed(t: np.ndarray) -> np.ndarray:
+    """Four symbols from each position on as one number; beyond the end the text goes on as if with a symbol of its own."""
+    x = np.concatenate([t, np.full(4, 0xFFFF, np.uint16)]).astype(np.uint64)
+    out = x[: len(t) + 1].copy()
+    for k in (1, 2, 3):
+        out |= x[k : k + len(t) + 1] << np.uint64(16 * k)
+    return out
+
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, packed: np.ndarray | None = None) -> np.ndarray:
+    """Common prefixes of the suffixes at a and b, up to ``cap``, of pairs not yet told apart: four symbols at a time where the text is held packed, else
+    by comparing symbols, more and more."""
     if len(a) > PAIRS:
-        return np.concatenate([_shared(t, a[i : i + PAIRS], b[i : i + PAIRS], cap) for i in range(0, len(a), PAIRS)])
+        return np.concatenate([_shared(t, a[i : i + PAIRS], b[i : i + PAIRS], cap, packed) for i in range(0, len(a), PAIRS)])
     n, out = len(t), np.zeros(len(a), np.int32)
+    if packed is not None:
+        # a suffix that ends is told from the other, as they end at different places
+        live, x, y, k = np.arange(len(a)), a.copy(), b.copy(), 0
+        while len(live) and k < cap:
+            d = packed[x] ^ packed[y]
+            apart = np.flatnonzero(d)
+            low = d[apart]
+            at = np.where(low & np.uint64(0xFFFF), 0, np.where(low & np.uint64(0xFFFF0000), 1, np.where(low & np.uint64(0xFFFF00000000), 2, 3)))
+            out[live[apart]] = k + at
+            same = np.flatnonzero(d == 0)
+            live, x, y, k = live[same], x[same] + 4, y[same] + 4, k + 4
+        out[live] = cap
+        return np.minimum(out, cap)
     live, step = np.arange(len(a)), 4
     while len(live):
         x, y, done = a[live], b[live], out[live]
@@ -261,7 +284,9 @@ def suffixes(t: np.ndarray, symbols: int, cap: int, memory: int = 256 << 20) ->
     order = _doubling(names, cap // 2 + 2)
     seeds = lms[order]
     seed_lcp = np.zeros(len(seeds), np.int32)
-    seed_lcp[1:] = _shared(t, seeds[:-1], seeds[1:], cap)
+    packed = _packed(t) if t.dtype == np.uint16 and 8 * len(t) <= memory else None
+    seed_lcp[1:] = _shared(t, seeds[:-1], seeds[1:], cap, packed)
+    del packed
     block = None
     for block in induce(t, s, symbols, seeds, seed_lcp, cap, memory, runs_after(t)):
         yield block
