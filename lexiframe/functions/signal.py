@@ -127,6 +127,17 @@ def pick_indices(n: Column, k: int) -> Column:
     return F.when(n > k, some).otherwise(F.sequence(F.lit(0), n - 1))
 
 
+def regrid(v: Column, n: int) -> Column:
+    """n values picked evenly from a contour, places truncated, whether it is longer or shorter; an empty one gives zeros."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.size(v) - 1) / max(1, n - 1)).cast("int"))
+    return F.when(F.size(v) > 0, F.transform(at, lambda i: F.get(v, i))).otherwise(F.array_repeat(F.lit(0.0), n))
+
+
+def silence(seconds: Column, rate: int = 22050) -> Column:
+    """Samples that are zero."""
+    return F.array_repeat(F.lit(0.0), F.floor(seconds * rate).cast("int"))
+
+
 def interpolate(xs: Column, ys: Column, n: Column) -> Column:
     """Piecewise linear through (xs, ys), xs rising, at 0 to n - 1; held beyond the ends."""
 

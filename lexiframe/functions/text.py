@@ -1,13 +1,19 @@
-"""Text as Columns: tokenisers, pronunciation, script conversion, packing. Nothing here leaves the JVM."""
+"""Text as Columns: tokenisers, pronunciation, script conversion, packing. Nothing here but ``nfc`` leaves the JVM."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import tables as T
+from .signal import let
+
+#: Latin words, Devanagari words and punctuation marks.
+SCRIPT_PATTERN = "[A-Za-z']+|[ऀ-ॿ]+|[.,!?;:\\-]"
 
 
 def _map(d: dict[str, str]) -> Column:
@@ -30,7 +36,7 @@ def lm_tokens(text: Column) -> Column:
 
 def script_tokens(text: Column, lowercase: bool = True) -> Column:
     """Latin words, Devanagari words and punctuation marks; digits vanish."""
-    return pieces(F.lower(text) if lowercase else text, "[A-Za-z']+|[ऀ-ॿ]+|[.,!?;:\\-]")
+    return pieces(F.lower(text) if lowercase else text, SCRIPT_PATTERN)
 
 
 def script_of(token: Column) -> Column:
@@ -130,15 +136,45 @@ def pack_chunks(text: Column, limit: int = 400) -> Column:
     """Sentences packed greedily into chunks of ``limit`` characters; a longer sentence is a chunk of its own; without sentences, the text's head."""
     flat = F.trim(F.replace(text, F.lit("·"), F.lit(" ")))
     parts = F.filter(F.transform(F.split(F.replace(flat, F.lit("\n"), F.lit(" ")), r"\. ", -1), lambda p: F.trim(p)), lambda p: p != "")
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
-    def step(s: Column, p: Column) -> Column:
-        fits = F.length(s["buf"]) + F.length(p) + 2 <= limit
-        done = F.when(fits | (s["buf"] == ""), s["done"]).otherwise(F.concat(s["done"], F.array(F.trim(s["buf"]))))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(s["buf"], p, F.lit(". "))).otherwise(F.concat(p, F.lit(". "))).alias("buf"))
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["held"] > 0) & (s["held"] + x["n"] + 2 <= limit)  # held: characters of the chunk so far, of each sentence with its ". "
+        return F.struct(F.when(fits, s["held"] + x["n"] + 2).otherwise(x["n"] + 2).alias("held"), F.when(fits, s["cuts"]).otherwise(F.concat(s["cuts"], F.array(x["i"]))).alias("cuts"))
+
+    def packed(p: Column) -> Column:
+        sizes = F.transform(p, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i")))
+        cuts = F.aggregate(sizes, F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("cuts")), step, lambda s: s["cuts"])
+        bounds = let(cuts, lambda c: F.zip_with(c, F.concat(F.slice(c, 2, F.greatest(F.lit(0), F.size(c) - 1)), F.array(F.size(p))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        return F.transform(F.filter(bounds, lambda x: x["a"] < x["b"]), lambda x: F.concat(F.array_join(F.slice(p, x["a"] + 1, x["b"] - x["a"]), ". "), F.lit(".")))
+
+    return F.when(F.size(parts) > 0, let(parts, packed)).otherwise(F.array(F.substring(flat, 1, limit)))
+
+
+def speakable(chunks: Column) -> Column:
+    """Chunks without those of fewer than two characters, which give no speech."""
+    return F.filter(chunks, lambda c: F.length(F.trim(c)) >= 2)
+
+
+def preview(text: Column, n: int) -> Column:
+    """The first n characters, those beyond ASCII as escapes."""
+    escape = lambda c: F.when(c <= 0xFF, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(c)), 2, "0"))).when(c <= 0xFFFF, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(F.lower(F.hex(c)), 8, "0")))
+    chars = pieces(F.substring(text, 1, n), "(?s).")
+    return F.array_join(F.transform(chars, lambda x: let(F.ascii(x), lambda c: F.when(c < 0x80, x).otherwise(escape(c)))), "")
+
+
+def count_script_tokens(text: Column) -> tuple[Column, Column]:
+    """How many tokens ``script_tokens`` gives, and how many of them are Latin, without making them."""
+    return F.regexp_count(text, F.lit(SCRIPT_PATTERN)), F.regexp_count(text, F.lit("(?<![A-Za-z'])[A-Za-z]"))
+
+
+def nfc(text: Column) -> Column:
+    """Normal form C, of any script. There is no built-in for it; texts go through Arrow in batches."""
+
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    out = F.aggregate(parts, first, step, lambda s: F.when(s["buf"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.trim(s["buf"])))))
-    return F.when(F.size(out) > 0, out).otherwise(F.array(F.substring(flat, 1, limit)))
+    return normal(text)
 
 
 def shingles(tokens: Column, n: int) -> Column:

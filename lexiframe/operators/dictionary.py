@@ -9,6 +9,10 @@ from ..functions import lexicon, tables
 from ..functions.text import split_words
 
 
+#: Entries of a dictionary that goes along as a map at most.
+SMALL = 1000
+
+
 def seed_entries(spark: SparkSession) -> DataFrame:
     """(ord, key, ol, deva, hi, gloss) of the seed dictionary."""
     rows = [(i, *line.split("\t")) for i, line in enumerate(lexicon.SEED_TERMS.strip("\n").split("\n"))]
@@ -46,10 +50,18 @@ def lookup_key(raw: Column) -> Column:
 
 
 def translate(texts: DataFrame, entries: DataFrame, keys: list[str], text: str = "text", target: str = "ol") -> DataFrame:
-    """(keys, translation): a token that is in the dictionary without its outer punctuation is replaced as a whole, others stay.
-
-    Words are looked up once each, by a join with the distinct words; the texts then take the hits from a map of their own words."""
+    """(keys, translation): a token that is in the dictionary without its outer punctuation is replaced as a whole, others stay. Of entries with one key the least target counts.
+
+    A dictionary of up to SMALL entries goes along as a map, and nothing is dealt out. A larger one is joined, which deals out every word."""
+    one = entries.groupBy("key").agg(F.min(target).alias("t"))
+    few = one.limit(SMALL + 1).collect()  # SMALL rows and one at most
+    if len(few) <= SMALL:
+        if not few:
+            return texts.select(*keys, F.array_join(split_words(F.coalesce(F.col(text), F.lit(""))), " ").alias("translation"))
+        known = F.create_map(*[F.lit(x) for r in few for x in (r.key, r.t)])
+        said = F.transform(split_words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.coalesce(F.try_element_at(known, lookup_key(w)), w))
+        return texts.select(*keys, F.array_join(said, " ").alias("translation"))
     words = texts.select(*keys, F.posexplode(split_words(F.coalesce(F.col(text), F.lit("")))).alias("pos", "raw"))
-    hits = words.withColumn("key", lookup_key(F.col("raw"))).join(entries.select("key", F.col(target).alias("t")), "key", "left")
+    hits = words.withColumn("key", lookup_key(F.col("raw"))).join(one, "key", "left")
     told = hits.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("t", "raw").alias("w")))), lambda x: x["w"]), " ").alias("translation"))
     return texts.select(*keys).join(told, keys, "left").withColumn("translation", F.coalesce("translation", F.lit("")))

@@ -181,6 +181,30 @@ def on_clips(df: DataFrame, samples: str, function: Callable[[np.ndarray], np.nd
     return df.withColumn(out, apply(F.col(samples)))
 
 
+def warp_waveform(df: DataFrame, source: str, source_rate: int, target: str, target_rate: int, out: str = "warped") -> DataFrame:
+    """``df`` with the target clip given the source's prosody: both clips' pitch and energy, the source's warped onto the target's frames, and the target's loudness and pitch changed
+    accordingly. Contours are cut to the shortest. Null clips give null."""
+    from ..functions import signal as S
+    from .align import warp_contours
+
+    win, hop = int(0.025 * target_rate), int(0.010 * target_rate)
+    rows = on_clips(df, source, lambda x: resample(x, source_rate, target_rate), "_s")
+    rows = on_clips(on_clips(rows, "_s", lambda x: f0(x, target_rate), "_f0s"), target, lambda x: f0(x, target_rate), "_f0t")
+    rows = rows.withColumn("_es", S.frame_energy(F.col("_s"), win, hop)).withColumn("_et", S.frame_energy(S.doubles(F.col(target)), win, hop))
+    n = F.least(*[F.size(c) for c in ("_f0s", "_es", "_f0t", "_et")])
+    for c in ("_f0s", "_es", "_f0t", "_et"):
+        rows = rows.withColumn(c, F.slice(c, F.lit(1), n))
+    rows = warp_contours(rows, "_f0s", "_es", "_f0t", "_et")
+    loud = S.apply_gain(F.col(target), S.energy_gain(F.col("_et"), F.col("warped_energy")), win, hop)
+    rows = rows.withColumn("_loud", loud).withColumn("_ratio", S.pitch_ratio(F.col("_f0t"), F.col("warped_f0")))
+
+    @F.pandas_udf("array<double>")
+    def shifted(v: pd.Series, ratio: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else shift_pitch(np.asarray(x, np.float64), target_rate, float(r)).tolist() for x, r in zip(v, ratio)])
+
+    return rows.withColumn(out, shifted("_loud", "_ratio")).drop("_s", "_f0s", "_f0t", "_es", "_et", "warped_f0", "warped_energy", "_loud", "_ratio")
+
+
 DENOISERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"spectral": spectral_subtraction}
 
 

@@ -57,7 +57,7 @@ def seconds_per_label(segments: DataFrame) -> DataFrame:
 
 def prepare(clips: DataFrame, n: int, least_s: float = 3.0, seed: int | None = 0) -> DataFrame:
     """The first n clips of ``least_s`` seconds or more, in an order drawn by the seed, or by name without one."""
-    order: Column = F.xxhash64("clip_id", F.lit(seed)) if seed is not None else F.lit(0)
+    order: Column = F.xxhash64("clip_id", F.lit(seed)) if seed is not None else F.col("clip_id")
     return clips.where(F.size("samples") / F.col("sr") >= least_s).orderBy(order, "clip_id").limit(n)
 
 

@@ -71,6 +71,23 @@ def probabilities(model: Model, queries: DataFrame) -> DataFrame:
     return q.select(*queries.columns, tri.alias("p"))
 
 
+def numbered(words: DataFrame, word: str = "w") -> DataFrame:
+    """``words`` with ``id``, their place in order from 1: the words of each two-letter beginning are numbered by themselves, after those of all beginnings before it."""
+    w = words.withColumn("_head", F.substring(word, 1, 2))
+    heads = w.groupBy("_head").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # beginnings are few, however many words there are
+    at = w.join(heads.select("_head", before.alias("_before")), "_head")
+    return at.withColumn("id", (F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy(word))).cast("int")).drop("_head", "_before")
+
+
+def build_syllabus_lm(spark, extra_texts: DataFrame | None = None) -> Model:
+    """The model of the built-in sentences and any further texts (text)."""
+    from .dictionary import lecture_sentences
+
+    texts = lecture_sentences(spark).select("text")
+    return fit(texts if extra_texts is None else texts.unionByName(extra_texts.select("text")))
+
+
 def log_prob(p: Column) -> Column:
     return F.log(F.greatest(p, F.lit(FLOOR)))
 

@@ -51,8 +51,8 @@ def boundary_f1(df: DataFrame, keys: list[str], pred: str = "pred", truth: str =
 def eer_sweep(df: DataFrame, score: str, label: str, order: str) -> DataFrame:
     """Every threshold, best score first: false positive and false negative rates.
 
-    A running sum over the whole table would put it into one task. Scores are therefore summed by score value first, and the running sums are over
-    the ranges of a sampled range partitioning: sums of the ranges, then sums within each."""
+    A running sum over the whole table would put it into one task. The running sums are therefore over the ranges of a sampled range partitioning: sums of the ranges, then sums within
+    each."""
     rows = df.select(F.col(order).alias("id"), F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y")).where("score is not null and y is not null")
     parted = rows.repartitionByRange(F.desc("score"), F.asc("id")).withColumn("part", F.spark_partition_id())
     totals = parted.groupBy("part").agg(F.sum("y").alias("p1"), F.sum(1 - F.col("y")).alias("p0"))
@@ -80,15 +80,24 @@ def eer(sweep: DataFrame) -> DataFrame:
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of token arrays: each distinct token becomes a character, then the built-in does it."""
-    words = F.array_distinct(F.concat(a, b))
-    code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, t) + 0x4E00), 4, "0")), "UTF-16BE")
-    spell = lambda x: F.array_join(F.transform(x, code), "")
-    return F.levenshtein(spell(a), spell(b))
+    """Levenshtein distance of token arrays: tokens become characters, then the built-in does it.
+
+    A token that only one side has matches nothing, whichever it is, so that all of a side's share one character; only the tokens that both have need one
+    each. Up to 1,111,000 of these have one; beyond, the row fails instead of being told wrong."""
+
+    def distance(shared: Column) -> Column:
+        place = lambda t: F.array_position(shared, t).cast("int")
+        point = lambda k: F.when(k < 0xD000, k + 0x400).otherwise(k + 0x1000)  # noqa: E731  past the surrogates
+        code = lambda t, own: let(place(t), lambda k: F.decode(F.unhex(F.lpad(F.hex(F.when(k == 0, own).otherwise(point(k))), 8, "0")), "UTF-32"))
+        spell = lambda x, own: F.array_join(F.transform(x, lambda t: code(t, own)), "")
+        told = F.levenshtein(spell(a, 0x21), spell(b, 0x22))
+        return F.when(F.size(shared) <= 1_111_000, told).otherwise(F.raise_error(F.lit("too many different tokens that both sides have")).cast("int"))
+
+    return let(F.array_intersect(a, b), distance)
 
 
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word error rate; up to 20,000 different words a pair."""
+    """Word error rate."""
     return F.try_divide(edit_distance(ref, hyp).cast("double"), F.size(ref))
 
 
@@ -121,3 +130,26 @@ def cross_entropy(logits: Column, label: Column, smoothing: float = 0.05) -> Col
     n = F.size(logits)
     mean = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / n
     return F.when(label.isNotNull(), -((1 - smoothing) * F.get(p, label.cast("int")) + smoothing * mean))
+
+
+def multitask_loss(frame: Column, utterance: Column, alpha: float = 0.7) -> Column:
+    """An aggregate: the mean loss of frames and that of utterances, ``alpha`` and 1 - ``alpha`` of it; nulls (ignored labels) count in neither mean."""
+    return alpha * F.avg(frame) + (1 - alpha) * F.avg(utterance)
+
+
+def mean_boundary_f1(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", tolerance: int = 20) -> DataFrame:
+    """The mean of the clips' boundary F1, each clip counting once."""
+    return boundary_f1(df, keys, pred, truth, tolerance).agg(F.avg("f1").alias("mean_f1"), F.count("*").alias("clips"))
+
+
+def loss_log(df: DataFrame, keys: list[str], loss: str) -> DataFrame:
+    """(keys, rows, mean): one row a step or epoch."""
+    return df.groupBy(*keys).agg(F.count(loss).alias("rows"), F.avg(loss).alias("mean"))
+
+
+def error_report(ref: Column, hyp: Column, words, languages: Column) -> Column:
+    """A transcript's report as JSON: word and character error rates; where several languages were heard, the rates by language are null, and a note says what they need."""
+    split = F.size(F.array_distinct(languages)) > 1
+    base = [wer(words(ref), words(hyp)).alias("WER_overall"), cer(ref, hyp).alias("CER_overall")]
+    none = [F.lit(None).cast("double").alias("WER_en_segments"), F.lit(None).cast("double").alias("WER_hi_segments"), F.lit("rates by language need a reference with times").alias("segment_split_note")]
+    return F.when(split, F.to_json(F.struct(*base, *none), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct(*base)))

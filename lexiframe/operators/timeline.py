@@ -50,11 +50,11 @@ def median3(df: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
     return df.withColumn("median", F.element_at(F.array_sort(three), 2))
 
 
-def best_window(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:
-    """For each key the earliest full window of ``n`` rows with the largest mean."""
+def best_window(df: DataFrame, keys: list[str], order: str, value: str, n: int, digits: int = 12) -> DataFrame:
+    """For each key the earliest full window of ``n`` rows with the largest mean, of so many digits."""
     w = _by(keys, [order])
     ahead = w.rowsBetween(0, n - 1)
-    out = df.select(*keys, order, F.avg(value).over(ahead).alias("mean"), F.count("*").over(ahead).alias("_n")).where(F.col("_n") == n)
+    out = df.select(*keys, order, F.round(F.avg(value).over(ahead), digits).alias("mean"), F.count("*").over(ahead).alias("_n")).where(F.col("_n") == n)
     return out.groupBy(*keys).agg(F.max_by(order, F.struct("mean", (-F.unix_micros(F.col(order).cast("timestamp"))).alias("t"))).alias("start"), F.max("mean").alias("mean")) if dict(df.dtypes)[order].startswith("timestamp") else out.groupBy(*keys).agg(F.max_by(order, F.struct("mean", (-F.col(order)).alias("t"))).alias("start"), F.max("mean").alias("mean"))
 
 
@@ -85,6 +85,12 @@ def hops(n: Column, win: int, hop: int, least_one: bool = False) -> Column:
     return F.when(n >= win, some).otherwise(F.array(F.lit(0).cast("long")) if least_one else F.array().cast("array<long>"))
 
 
+def strides(seconds: Column, win: float = 5.0, stride: float = 30.0) -> Column:
+    """Starts of windows of ``win`` seconds every ``stride`` seconds that end within the clip; none for a shorter one."""
+    n = F.floor((seconds - win) / stride).cast("int")
+    return F.when(seconds >= win, F.transform(F.sequence(F.lit(0), n), lambda k: k * F.lit(float(stride)))).otherwise(F.array().cast("array<double>"))
+
+
 def alternate(df: DataFrame, duration: str, order: list[str], keys: list[str], pause: float = 0.3) -> DataFrame:
     """Start and end of items laid one after the other with a pause between."""
     w = _by(keys, order).rowsBetween(Window.unboundedPreceding, -1)

@@ -100,9 +100,7 @@ def hourly(spark, sf_dir):
 SELECT part, arg_max(hour, (mean, -hour)) AS start, max(mean) AS mean FROM w WHERE k = 6 GROUP BY part""")
 def best_sliding_window(spark, sf_dir):
     h = hourly(spark, sf_dir).withColumn("part", F.col("hour") % 4)
-    w = Window.partitionBy("part").orderBy("hour").rowsBetween(0, 5)
-    full = h.select("part", "hour", F.round(F.avg("share").over(w), 9).alias("mean"), F.count("*").over(w).alias("k")).where("k = 6")
-    return full.groupBy("part").agg(F.max_by("hour", F.struct("mean", (-F.col("hour")).alias("h"))).alias("start"), F.max("mean").alias("mean"))
+    return timeline.best_window(h, ["part"], "hour", "share", 6, digits=9)
 
 
 @query("SELECT time_bucket(INTERVAL 28 SECOND, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -208,9 +206,26 @@ def boundary_lists(spark, sf_dir):
     return e.groupBy("user_id").agg(some("a").alias("pred"), some("b").alias("truth"))
 
 
-@query()
+BOUNDARY_SQL = """e AS (SELECT *, (row_number() OVER w - 1)::BIGINT AS frame, lag(event_type) OVER w <> event_type AS a, (lag(value) OVER w < 50) <> (value < 50) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+l AS (SELECT user_id, coalesce(list(frame ORDER BY frame) FILTER (WHERE a), []) AS pred, coalesce(list(frame ORDER BY frame) FILTER (WHERE b), []) AS truth FROM e GROUP BY user_id),
+g AS (SELECT user_id, 0 AS i, []::BIGINT[] AS used FROM l UNION ALL
+  SELECT user_id, i + 1, CASE WHEN near IS NULL THEN used ELSE list_append(used, near % 1000000000) END FROM (
+    SELECT g.user_id, g.i, g.used, list_min(list_transform(list_filter(l.truth, lambda t: abs(t - l.pred[g.i + 1]) <= 2 AND NOT list_contains(g.used, t)), lambda t: abs(t - l.pred[g.i + 1]) * 1000000000 + t)) AS near
+    FROM g JOIN l ON l.user_id = g.user_id WHERE g.i < len(l.pred))),
+m AS (SELECT l.user_id, len(l.pred) AS n, len(l.truth) AS k, len(g.used)::BIGINT AS matched FROM l JOIN g ON g.user_id = l.user_id AND g.i = len(l.pred)),
+q AS (SELECT user_id, matched, CASE WHEN n = 0 AND k = 0 THEN 1.0 WHEN n = 0 OR k = 0 THEN 0.0 ELSE matched / n::DOUBLE END AS "precision", CASE WHEN n = 0 AND k = 0 THEN 1.0 WHEN n = 0 OR k = 0 THEN 0.0 ELSE matched / k::DOUBLE END AS recall FROM m),
+s AS (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1 FROM q)"""
+
+
+@query(f"WITH RECURSIVE {BOUNDARY_SQL} SELECT round(avg(f1), 9) AS mean_f1, count(*) AS clips FROM s")
+def mean_boundary_f1(spark, sf_dir):
+    return metrics.mean_boundary_f1(boundary_lists(spark, sf_dir), KEY, tolerance=2).select(F.round("mean_f1", 9).alias("mean_f1"), "clips")
+
+
+@query(f'WITH RECURSIVE {BOUNDARY_SQL} SELECT user_id, matched, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f1, 9) AS f1 FROM s')
 def boundary_f1(spark, sf_dir):
-    return metrics.boundary_f1(boundary_lists(spark, sf_dir), KEY, tolerance=2)
+    out = metrics.boundary_f1(boundary_lists(spark, sf_dir), KEY, tolerance=2)
+    return out.select("user_id", "matched", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 SWEEP_SQL = f"""{JUDGED_SQL}, s AS (SELECT doc_id AS id, n_chars::DOUBLE AS score, toxic AS y, (row_number() OVER w)::BIGINT AS rank, sum(1 - toxic) OVER w / greatest(1, sum(1 - toxic) OVER ())::DOUBLE AS fpr,
@@ -231,31 +246,27 @@ def equal_error_rate(spark, sf_dir):
     return metrics.eer(s).select(F.round("eer", 9).alias("eer"), "threshold")
 
 
-def turn_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").where("text IS NOT NULL")
-    ascii_ = F.regexp_replace("text", "[^ -~]", "")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", F.substring(ascii_, 1, 200).alias("hyp")).withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL AND ref <> ''")
-
-
-@query(r"""WITH a AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS hyp FROM conversations WHERE text IS NOT NULL), p AS (SELECT *, lag(hyp) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM a)
-SELECT conv_id, turn, round(levenshtein(ref, hyp) / length(ref)::DOUBLE, 9) AS cer FROM p WHERE ref IS NOT NULL AND ref <> ''""")
-def character_error_rate(spark, sf_dir):
-    return turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
-
-
 def whole_turn_pairs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("hyp")).where("hyp IS NOT NULL")
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.withColumn("ref", F.lag("hyp").over(w)).where("ref IS NOT NULL AND ref <> ''")
 
 
-@query()
-def character_error_rate_whole(spark, sf_dir):
+# DuckDB's distance is of bytes: characters beyond ASCII are first put in the place of control characters that no text has
+PAIRS_SQL = """b AS (SELECT string_agg(c, '' ORDER BY c) AS far, string_agg(chr(n::INT), '' ORDER BY c) AS near FROM (SELECT c, row_number() OVER (ORDER BY c) + CASE WHEN row_number() OVER (ORDER BY c) > 8 THEN 5 ELSE 0 END AS n
+  FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM conversations) WHERE unicode(c) > 127)),
+p AS (SELECT *, lag(hyp) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM (SELECT conv_id, turn, text AS hyp FROM conversations WHERE text IS NOT NULL))"""
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT conv_id, turn, round(levenshtein(translate(ref, far, near), translate(hyp, far, near)) / length(ref)::DOUBLE, 9) AS cer FROM p, b WHERE ref IS NOT NULL AND ref <> ''""")
+def character_error_rate(spark, sf_dir):
     return whole_turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(metrics.cer(F.col("ref"), F.col("hyp")), 9).alias("cer"))
 
 
-@query()
+# words that one side alone has match nothing and share a byte; those of both have one each, of 120
+@query(r"""WITH p AS (SELECT *, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\s\x{0085}\x{2028}\x{2029}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS h FROM conversations WHERE text IS NOT NULL)),
+s AS (SELECT *, list_intersect(r, h) AS common FROM p WHERE r IS NOT NULL AND len(r) > 0)
+SELECT conv_id, turn, round(levenshtein(array_to_string(list_transform(r, lambda x: chr(coalesce(nullif(list_position(common, x), 0) + 2, 1)::INT)), ''), array_to_string(list_transform(h, lambda x: chr(coalesce(nullif(list_position(common, x), 0) + 2, 2)::INT)), '')) / len(r)::DOUBLE, 9) AS wer FROM s""")
 def word_error_rate(spark, sf_dir):
     p = whole_turn_pairs(spark, sf_dir).withColumn("r", X.split_words(F.col("ref"))).withColumn("h", X.split_words(F.col("hyp"))).where(F.size("r") > 0)
     return p.select("conv_id", "turn", F.round(metrics.wer(F.col("r"), F.col("h")), 9).alias("wer"))
@@ -274,8 +285,8 @@ def lm_tokenize(spark, sf_dir):
 
 @query("SELECT doc_id, len(t)::BIGINT AS n, coalesce(len(list_filter(t, lambda x: regexp_matches(x, '^[a-z]'))), 0)::BIGINT AS latin FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[A-Za-z'']+|[ऀ-ॿ]+|[.,!?;:\\-]') AS t FROM documents)")
 def script_tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", X.script_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda x: X.script_of(x) == "latin")).cast("long").alias("latin"))
+    n, latin = X.count_script_tokens(F.lower(F.coalesce("text", F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n"), latin.cast("long").alias("latin"))
 
 
 def _sql_map(d):
@@ -339,11 +350,10 @@ n AS (SELECT key FROM c WHERE key NOT IN (SELECT key FROM s) ORDER BY mo, ho LIM
 SELECT key, replace(key, '_', '-') AS ol FROM (SELECT key FROM s UNION ALL SELECT key FROM n)""")
 def corpus_expand(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    b = part.select(F.col("p_brand").alias("key")).distinct().orderBy("key").collect()  # dozens of brands and of types
-    t = part.select(F.col("p_type").alias("key")).distinct().orderBy("key").collect()
-    rows = [(i, r.key, r.key.replace("_", "-"), r.key, r.key, r.key) for i, r in enumerate([*b, *t])]
-    entries = spark.createDataFrame(rows, "ord int, key string, ol string, deva string, hi string, gloss string")
-    out = dictionary.compounds(entries, entries.limit(len(b)).where(F.col("ord") < len(b)), entries.where(F.col("ord") >= len(b)), 100)
+    side = lambda c, k: part.select(F.lit(k).alias("side"), F.col(c).alias("key")).distinct()  # noqa: E731  dozens of brands and of types
+    every = side("p_brand", 0).unionByName(side("p_type", 1)).withColumn("ord", F.row_number().over(Window.orderBy("side", "key")) - 1)
+    entries = every.select("ord", "key", F.replace("key", F.lit("_"), F.lit("-")).alias("ol"), F.col("key").alias("deva"), F.col("key").alias("hi"), F.col("key").alias("gloss"))
+    out = dictionary.compounds(entries, every.where("side = 0"), every.where("side = 1"), 100)
     return out.select("key", F.replace("key", F.lit("_"), F.lit("-")).alias("ol"))
 
 
@@ -352,15 +362,25 @@ def dictionary_500(spark, sf_dir):
     return dictionary.full_dictionary(spark).agg(F.count("*").alias("entries"), F.max_by("key", "ord").alias("last"))
 
 
-@query()
+@query(r"""WITH RECURSIVE f AS (SELECT doc_id, trim(replace(coalesce(text, ''), '·', ' ')) AS flat FROM documents),
+l AS (SELECT doc_id, flat, list_filter(list_transform(string_split(replace(flat, chr(10), ' '), '. '), lambda x: trim(x)), lambda x: x <> '') AS parts FROM f),
+g AS (SELECT doc_id, 0 AS i, '' AS buf, NULL::VARCHAR AS done, false AS last FROM l
+  UNION ALL SELECT g.doc_id, g.i + 1, CASE WHEN length(g.buf) + length(l.parts[g.i + 1]) + 2 <= 400 THEN g.buf || l.parts[g.i + 1] || '. ' ELSE l.parts[g.i + 1] || '. ' END,
+    CASE WHEN length(g.buf) + length(l.parts[g.i + 1]) + 2 > 400 AND g.buf <> '' THEN trim(g.buf) END, g.i + 1 = len(l.parts) FROM g JOIN l ON l.doc_id = g.doc_id WHERE g.i < len(l.parts)),
+c AS (SELECT doc_id, i, done AS chunk FROM g WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, trim(buf) FROM g WHERE last UNION ALL SELECT doc_id, 0, flat[1:400] FROM l WHERE len(parts) = 0)
+SELECT doc_id, count(*)::INT AS chunks, max(length(chunk))::INT AS longest, sha256(string_agg(chunk, '|' ORDER BY i)) AS digest FROM c GROUP BY doc_id""")
 def pack_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", X.pack_chunks(F.coalesce("text", F.lit(""))).alias("c"))
-    return d.select("doc_id", F.size("c").alias("chunks"), F.array_max(F.transform("c", F.length)).alias("longest"))
+    return d.select("doc_id", F.size("c").alias("chunks"), F.array_max(F.transform("c", F.length)).alias("longest"), F.sha2(F.array_join("c", "|"), 256).alias("digest"))
+
 
+RUN_SQL = "|".join((f"\\{c}" if not c.isdigit() else c) + "{10,}" for c in "0123456789!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~") + "|''{10,}"
 
-@query(r"SELECT doc_id, length(t) AS n FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '#{10,}|\${10,}|%{10,}|&{10,}|\*{10,}|!{10,}|0{10,}|-{10,}|={10,}|_{10,}|\.{10,}', '.', 'g'), 'x', 'x', 'g') AS t FROM documents)")
+
+@query(f"SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{RUN_SQL}', '.', 'g') AS t FROM documents)")
 def clean_runs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(X.clean_runs(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+    t = X.clean_runs(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
 # ---- language model
@@ -418,8 +438,8 @@ ca AS (SELECT hyp, id, 'Ġ' || w AS token, w, ((id * 37 + hyp * 11) % 101)::DOUB
 @query(f"WITH {MODEL_SQL}, {CANDIDATES_SQL}, cs AS (SELECT DISTINCT w, h2, h1 FROM ca), {_prob_sql('cs', 'pr')} SELECT hyp, id, token, score, round(score + CASE WHEN rk <= 64 THEN 0.4 * ln(greatest(p, 1e-12)) ELSE 0 END + CASE WHEN id IN (3, 5) THEN 2.0 ELSE 0 END, 6) AS biased FROM ca JOIN pr USING (w, h2, h1)")
 def logit_bias_topk(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    words = b.select(F.explode(X.pieces(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+")).alias("w")).groupBy("w").count()
-    ids = words.withColumn("id", F.row_number().over(Window.orderBy("w")))  # the vocabulary of a decoder
+    words = b.select(F.explode(X.pieces(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+")).alias("w")).distinct()
+    ids = lm.numbered(words)  # the vocabulary of a decoder
     c = ids.withColumn("hyp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     c = c.select("hyp", "id", F.concat(F.lit("Ġ"), "w").alias("token"), (((F.col("id") * 37 + F.col("hyp") * 11) % 101) / F.lit(10.0)).alias("score"), F.lit("the").alias("h2"), F.when(F.col("hyp") == 0, "of").when(F.col("hyp") == 1, "de").otherwise("la").alias("h1"))
     return lm.logit_bias(lm.fit(b), c, boosts=[3, 5]).select("hyp", "id", "token", "score", F.round("biased", 6).alias("biased"))
@@ -511,9 +531,9 @@ def energy_envelope(spark, sf_dir):
     return long_form(emb(spark, sf_dir).withColumn("y", S.apply_gain(F.col("v"), gain, 16, 8)))
 
 
-@query(_long_sql("list_transform(range(0, 9), lambda k: power(list_sum(list_transform(range(0, 16), lambda i: v[i + 1] * cos(2 * pi() * k * i / 16))), 2) + power(list_sum(list_transform(range(0, 16), lambda i: v[i + 1] * sin(2 * pi() * k * i / 16))), 2))"))
+@query(_long_sql("list_transform(range(0, 33), lambda k: power(list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * cos(2 * pi() * k * i / 64))), 2) + power(list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * sin(2 * pi() * k * i / 64))), 2))"))
 def dft_small(spark, sf_dir):
-    return long_form(emb(spark, sf_dir).withColumn("y", S.dft_power(F.col("v"), 16)))
+    return long_form(emb(spark, sf_dir).withColumn("y", S.dft_power(F.col("v"), 64)))
 
 
 @query(_long_sql("list_transform(range(1, 33), lambda i: greatest(abs(v[i]) - 1.8 * abs(v[i + 32]), 0.05 * abs(v[i])))"))
@@ -543,7 +563,18 @@ def softmax_loss(spark, sf_dir):
     return emb(spark, sf_dir).select("vec_id", argmax(p).alias("best"), F.round(F.get(p, F.lit(0)), 6).alias("p0"), F.round(metrics.cross_entropy(z, F.col("label") % 3), 6).alias("loss"))
 
 
-@query()
+# the cells (i, j) of a diagonal d = i + j follow from the two diagonals before it; the path is then walked back
+DTW_SQL = """e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS a, lead(list_transform(embedding, lambda x: x::DOUBLE)) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+p AS (SELECT * FROM e WHERE b IS NOT NULL),
+g AS (SELECT vec_id, 0 AS d, [0.0::DOUBLE] || list_transform(range(1, 65), lambda i: 'inf'::DOUBLE) AS one, list_transform(range(0, 65), lambda i: 'inf'::DOUBLE) AS two FROM p UNION ALL
+  SELECT g.vec_id, g.d + 1, list_transform(range(0, 65), lambda i: CASE WHEN i < 1 OR g.d + 1 - i < 1 OR g.d + 1 - i > 64 OR abs(2 * i - g.d - 1) > 9 THEN 'inf'::DOUBLE
+    ELSE sqrt((p.a[i] - p.b[g.d + 1 - i]) * (p.a[i] - p.b[g.d + 1 - i])) + least(g.two[i], g.one[i], g.one[i + 1]) END), g.one FROM g JOIN p ON p.vec_id = g.vec_id WHERE g.d < 128),
+w AS (SELECT vec_id, 64 AS i, 64 AS j, 0 AS steps FROM p UNION ALL
+  SELECT vec_id, CASE WHEN s < 2 THEN i - 1 ELSE i END, CASE WHEN s = 1 THEN j ELSE j - 1 END, steps + 1 FROM (
+    SELECT w.*, CASE WHEN h.two[w.i] <= least(h.one[w.i], h.one[w.i + 1]) THEN 0 WHEN h.one[w.i] <= h.one[w.i + 1] THEN 1 ELSE 2 END AS s FROM w JOIN g h ON h.vec_id = w.vec_id AND h.d = w.i + w.j - 1 WHERE w.i > 0 AND w.j > 0))"""
+
+
+@query(f"WITH RECURSIVE {DTW_SQL} SELECT w.vec_id, max(w.steps)::INT AS steps, round(any_value(g.one[65]), 6) AS cost FROM w JOIN g ON g.vec_id = w.vec_id AND g.d = 128 GROUP BY w.vec_id")
 def dtw_pairs(spark, sf_dir):
     e = emb(spark, sf_dir)
     p = e.withColumn("n", F.lead("v").over(Window.partitionBy("label").orderBy("vec_id"))).where("n IS NOT NULL")
@@ -596,27 +627,45 @@ def distinct_labels(spark, sf_dir):
 # ---- models and signal transforms
 
 
-@query()
-def scored_labels(spark, sf_dir):
+def weights(n: int):
+    """Fixed weights of n classes for 64 features."""
     import numpy as np
 
-    from ..operators import scorer
+    return np.random.default_rng(0).normal(size=(n, 64))
 
-    rng = np.random.default_rng(0)
-    model = scorer.LinearScorer(rng.normal(size=(3, 64)), np.zeros(3))
-    out = scorer.score(emb(spark, sf_dir), "v", model, skip=S.dbfs(F.col("v")) < -55)
-    return out.select("vec_id", F.coalesce(scorer.argmax(F.col("scores")), F.lit(2)).alias("label"))
 
+def _weights_sql(n: int) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in row) + "]" for row in weights(n)) + "]"
 
-@query()
-def robustness_search(spark, sf_dir):
+
+def linear(n: int):
     import numpy as np
 
     from ..operators import scorer
 
-    rng = np.random.default_rng(0)
-    model = scorer.LinearScorer(rng.normal(size=(2, 64)), np.zeros(2))
-    return scorer.robustness(emb(spark, sf_dir), "v", model, 1).select("vec_id", "robustness.*")
+    return scorer.LinearScorer(weights(n), np.zeros(n))
+
+
+@query(f"""WITH {E_SQL}, z AS (SELECT vec_id, 20 * log10(sqrt(list_avg(list_transform(v, lambda x: x * x))) + 1e-9) AS level, list_transform({_weights_sql(3)}, lambda w: list_sum(list_transform(range(1, 65), lambda i: w[i] * v[i]))) AS z FROM e)
+SELECT vec_id, CASE WHEN level < -55 THEN 2 ELSE (list_position(z, list_max(z)) - 1)::INT END AS label FROM z""")
+def scored_labels(spark, sf_dir):
+    from ..operators import scorer
+
+    out = scorer.score(emb(spark, sf_dir), "v", linear(3), skip=S.dbfs(F.col("v")) < -55)
+    return out.select("vec_id", F.coalesce(scorer.argmax(F.col("scores")), F.lit(2)).alias("label"))
+
+
+@query(f"""WITH {E_SQL}, z AS (SELECT vec_id, (label % 2)::INT AS y, list_transform({_weights_sql(2)}, lambda w: list_sum(list_transform(range(1, 65), lambda i: w[i] * v[i]))) AS z FROM e),
+x AS (SELECT vec_id, y, round(1 / (1 + exp(z[1] - z[2])), 9) AS score FROM z), s AS (SELECT *, (row_number() OVER w)::BIGINT AS rank, sum(1 - y) OVER w / greatest(1, sum(1 - y) OVER ())::DOUBLE AS fpr,
+  1 - sum(y) OVER w / greatest(1, sum(y) OVER ())::DOUBLE AS fnr FROM x WINDOW w AS (ORDER BY score DESC, vec_id)),
+c AS (SELECT *, CASE WHEN fpr - fnr < 0 THEN 1 ELSE 0 END AS neg, lead(CASE WHEN fpr - fnr < 0 THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS nxt FROM s),
+p AS (SELECT * FROM c WHERE neg <> nxt ORDER BY rank LIMIT 1), q AS (SELECT * FROM c ORDER BY abs(fpr - fnr), rank LIMIT 1), u AS (SELECT * FROM p UNION ALL SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM p))
+SELECT round((fpr + fnr) / 2, 9) AS eer, round(score, 6) AS threshold FROM u""")
+def evaluate_eer(spark, sf_dir):
+    from ..operators import scorer
+
+    scored = scorer.score(emb(spark, sf_dir), "v", linear(2)).select("vec_id", F.round(F.get("scores", F.lit(1)), 9).alias("score"), (F.col("label") % 2).alias("y"))
+    return metrics.eer(metrics.eer_sweep(scored, "score", "y", "vec_id")).select(F.round("eer", 9).alias("eer"), F.round("threshold", 6).alias("threshold"))
 
 
 @query()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import struct
+import tempfile
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -91,6 +93,40 @@ def write_wav_table(clips: DataFrame, path: str, samples: str = "samples", rate:
     clips.select("clip_id", encode(F.col(samples)).alias("wav")).write.mode("overwrite").parquet(path)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; one of our own only where it is unset and all runs on one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="lexiframe-")
+    return f"{where.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+
+
+def write_wav(clips: DataFrame, path: str, samples: str = "samples", rate: int = 22050) -> int:
+    """One WAV file a clip, <clip_id>.wav under ``path`` in any store that Arrow writes; returns how many. A task that is tried again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with store.open_output_stream(f"{root}/{name}.wav") as f:
+                    f.write(encode_wav(np.asarray(x or [], np.float64), rate))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    done = clips.select(F.col("clip_id").cast("string"), F.col(samples)).mapInArrow(run, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def decode_clips(df: DataFrame, rate: int | None = 16000, path_bytes: str = "content", inline: str = "wav", key: str = "clip_id") -> DataFrame:
+    """(clip_id, sr, samples) of rows that carry a clip under a path, or else with the row; rows that do not decode are left out."""
+    rows = df.select(F.col(key).cast("string").alias("path"), prefer_path_bytes(F.col(path_bytes), F.col(inline)).alias("content")).where("content IS NOT NULL")
+    return rows.mapInArrow(_decode(rate), "clip_id string, sr int, samples array<float>")
+
+
 def positional_segments(column):
     """``[[0.0, 8.0, "EN"], ...]`` as structs."""
     rows = F.from_json(column, "array<array<string>>")

@@ -180,5 +180,5 @@ def test_error_rates_read_whole_turns(spark, tmp_path):
     spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.wer for r in QUERIES["word_error_rate"](spark, str(tmp_path)).collect()}
     assert got == {i: round(distance(turns[i - 1].split(), turns[i].split()) / len(turns[i - 1].split()), 9) for i in (1, 2)}
-    got = {r.turn: r.cer for r in QUERIES["character_error_rate_whole"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.cer for r in QUERIES["character_error_rate"](spark, str(tmp_path)).collect()}
     assert got == {i: round(distance(turns[i - 1], turns[i]) / len(turns[i - 1]), 9) for i in (1, 2)}

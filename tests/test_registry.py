@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexiframe.plans import registry
+from lexiframe.plans import more, registry  # noqa: F401  more adds its queries
 
 
 def plain(v):
