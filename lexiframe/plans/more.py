@@ -84,7 +84,7 @@ def sample_ranges(spark, sf_dir):
 # ---- the built-in sentences
 
 
-@query("SELECT * FROM (VALUES (1, 397::BIGINT, 0.721823), (2, 653::BIGINT, 0.917282), (3, 678::BIGINT, 0.976642)) v(\"order\", types, d)")
+@query('SELECT "order", types, d::DOUBLE AS d FROM (VALUES (1, 397::BIGINT, 0.721823), (2, 653::BIGINT, 0.917282), (3, 678::BIGINT, 0.976642)) v("order", types, d)')
 def syllabus_model(spark, sf_dir):
     """The built-in model's published sizes and discounts."""
     return lm.build_syllabus_lm(spark).meta.select(F.col("order").cast("int").alias("order"), "types", F.round("d", 6).alias("d"))
