@@ -9,7 +9,7 @@ from ..functions import signal as S
 from ..functions import text as X
 from ..operators import dictionary, evaluate, generate, lm, metrics, timeline
 from ..sources import io
-from .registry import CODE_SQL, E_SQL, GRAMS_SQL, MODEL_SQL, KEY, ORDER, _long_sql, _weights_sql, code, emb, events, linear, long_form, query, table, user_segments
+from .registry import CODE_SQL, E_SQL, MODEL_SQL, KEY, ORDER, _long_sql, _weights_sql, code, emb, events, linear, long_form, query, table, user_segments
 
 # ---- sources and sinks: written to the shared folder and read again
 
