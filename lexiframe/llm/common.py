@@ -36,12 +36,18 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
 
 
+_own: dict[str, str] = {}
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="lexiframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="lexiframe-")
+        where = _own["dir"]
     return where.rstrip("/")
 
 

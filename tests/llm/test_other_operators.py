@@ -3,6 +3,8 @@
 import json
 import math
 import os
+import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -120,3 +122,55 @@ def test_pipeline_tells_rows_without_a_single_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (None, text(4)), (None, text(5)), (None, None)], key=repr)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated ids, copies, passages and personal data through all stages; then an empty table."""
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    item, copy, long = prose(30), prose(80), prose(25_000)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, copy), (5, copy), (6, prose(900) + " " + item[:200] + " " + prose(900)), (7, prose(40) + " me@mail.example.com " + prose(20)), (8, long), (9, prose(50)), (9, prose(51)), (None, prose(52)), (10, "x" * 50_000)]
+    rows = [(i, t, None if i == 9 else "en", None if i == 7 else "src1", None if i == 8 else len(t or "")) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    def put(name, data, kind):
+        spark.createDataFrame(data, kind).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+
+    put("documents", rows, schema)
+    put("labels", [(4, 1, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    put("benchmark", [(1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("hits", F.lit(1)).withColumn("spans", F.lit("s"))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, str(tmp_path))
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = [(x.doc_id, x.text) for x in docs.collect()]
+    assert sorted(i for i, _ in kept if i is not None) == [1, 2, 3, 4, 7, 8, 9, 9, 10] and len(kept) == 10
+    assert [t for i, t in kept if i == 7][0].split()[40] == "[EMAIL]" and [t for i, t in kept if i == 8] == [long] and [t for i, t in kept if i == 1] == [None]
+    last = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert {x.doc_id for x in last} <= {4, 7, 8, 9, 10, None}
+    assert all(len(x.text.split()) == (x.n_tokens if x.epochs else x.cut) and x.n_chars == len(x.text) for x in last)
+    put("documents", [], schema)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_passages_of_a_benchmark_are_found_as_by_brute_force(spark, sf_dir):
+    """The stage drops what holds thirteen words in a row of an item, or of a shorter item a twentieth of its words."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    grams = {tuple(w[k : k + 13]) for w in (words(x.text) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()) if len(w) >= 13 for k in range(len(w) - 12)}
+    want = set()
+    for x in docs.collect():
+        w = words(x.text)
+        if not any(tuple(w[k : k + 13]) in grams for k in range(len(w) - 12)):
+            want.add(x.doc_id)
+    assert {x.doc_id for x in corpus_pipeline.drop_contaminated(spark, docs, sf_dir).collect()} == want
+
+
+def test_vectors_count_as_given(spark):
+    """Doubles are not cut to floats, and queries of one vector are answered each."""
+    rows = [(i, [1e100, float(i % 7) * 1e100 + 1e90]) for i in range(140)] + [(200 + i, [1.0 + 1e-12 * i, 2.0]) for i in range(10)]
+    got = {}
+    for r in ann.neighbours(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query="id % 10 = 0").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert set(got) == set(range(0, 140, 10)) | {200}
+    assert [v for _, v in sorted(got[70])] == [0, 7, 14, 21, 28] and [v for _, v in sorted(got[0])] == [7, 14, 21, 28, 35]
