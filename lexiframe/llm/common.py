@@ -184,6 +184,22 @@ def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_semi")
 
 
+def row_keys(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``rows`` with ``row``, and whether all have an id of their own: the id where it is one row's alone, else (null, negative or repeated) a hash of id and text with the sign set, so that
+    such rows alone could ever be taken for each other. Equal rows have one key."""
+    from pyspark.sql import functions as F
+
+    key = F.col(id_col).cast("long")
+    again = Stage(spark, "ids").table(rows.groupBy(key.alias("_id")).count().where("count > 1 OR _id IS NULL OR _id < 0").select("_id"))
+    n = again.count()
+    odd = F.xxhash64(text_col, id_col).bitwiseOR(F.lit(-(1 << 63)))
+    if not n:
+        return rows.withColumn("row", key), True
+    again = again.where("_id IS NOT NULL").withColumn("_odd", F.lit(True))
+    marked = rows.withColumn("_id", key).join(F.broadcast(again) if n <= SMALL_IDS else again, "_id", "left")
+    return marked.withColumn("row", F.when(F.col("_odd") | F.col("_id").isNull(), odd).otherwise(F.col("_id"))).drop("_id", "_odd"), False
+
+
 def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, held_out: tuple[int, int], most: int, seed: int = 11) -> DataFrame:
     """(doc_id, y) of at most ``most`` labelled rows, least hash first; ``held_out`` (m, r): ids whose crc32 mod m is r stay out.
 

@@ -26,8 +26,6 @@ from .suffix_sort import suffixes
 WINDOW, GRAM = 400, 32
 SHARD_BYTES = 4 << 20
 MEMORY = 64 << 20
-#: A row is told by its id and a hash of its text, so that rows with an id of their own cannot be taken for each other.
-ROW, ROW_SQL = pa.struct([("id", pa.int64()), ("hash", pa.int64())]), "struct<id:long,hash:long>"
 
 
 def _gram_hash(buf: np.ndarray) -> np.ndarray:
@@ -80,11 +78,12 @@ def segments(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[n
 def _list(window: int):
     def run(batches):
         for b in batches:
+            rows = b.column(0).to_numpy()
             for lo, _, buf, offs in C.texts(b.column(1), lower=False):
                 text, start, end, key, twice = segments(buf, offs, window)
                 raw = memoryview(np.ascontiguousarray(buf))
                 digest = np.frombuffer(b"".join(hashlib.blake2b(raw[s : e + window], digest_size=8).digest() for s, e in zip(start.tolist(), end.tolist())), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest), b.column(0).take(pa.array(lo + text)), pa.array(start - offs[text]), pa.array(end - offs[text] + window), pa.array(twice)], ["key", "digest", "row", "s", "e", "twice"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest), pa.array(rows[lo + text]), pa.array(start - offs[text]), pa.array(end - offs[text] + window), pa.array(twice)], ["key", "digest", "row", "s", "e", "twice"])
 
     return run
 
@@ -97,7 +96,7 @@ def _cut(batches):
             raw = buf.tobytes()
             rows = [(b.column("row")[d].as_py(), w, raw[offs[d - lo] + w["s"] : offs[d - lo] + w["e"]]) for d in range(lo, hi) for w in wanted[d]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for _, w, _ in rows], pa.int64()), pa.array([r for r, _, _ in rows], ROW), pa.array([w["s"] for _, w, _ in rows], pa.int64()), pa.array([w["n"] for _, w, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.binary())], ["key", "row", "s", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for _, w, _ in rows], pa.int64()), pa.array([r for r, _, _ in rows], pa.int64()), pa.array([w["s"] for _, w, _ in rows], pa.int64()), pa.array([w["n"] for _, w, _ in rows], pa.int64()), pa.array([x for _, _, x in rows], pa.binary())], ["key", "row", "s", "n", "bytes"])
 
 
 def repeated(parts: list[bytes], window: int, memory: int = MEMORY) -> list[np.ndarray]:
@@ -154,7 +153,7 @@ def _sort(window: int):
                     out_s.append(s[k] + int(g[0]))
                     out_e.append(s[k] + int(g[-1]) + window)
         # windows that lie less than a window apart leave no byte between them
-        yield pa.RecordBatch.from_arrays([pa.array(out_row, ROW), pa.array(out_s, pa.int64()), pa.array(out_e, pa.int64())], ["row", "s", "e"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out_s, pa.int64()), pa.array(out_e, pa.int64())], ["row", "s", "e"])
 
     return run
 
@@ -191,8 +190,10 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     A byte goes if a string of ``window`` bytes that covers it also starts elsewhere, in any text or the same one. Null counts as empty; shorter texts lose nothing.
     Rows that repeat an id are texts of their own, equal rows copies of each other. An empty table gives an empty one; other columns are ignored."""
     stage = C.Stage(spark, "substrings")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text", "doc_id").alias("hash")))
-    every = stage.table(rows.where(F.octet_length("text") >= window).select("row", "text").mapInArrow(_list(window), f"key long, digest long, row {ROW_SQL}, s long, e long, twice boolean"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, alone = C.row_keys(spark, rows, "doc_id", "text")
+    once = rows if alone else rows.where("row >= 0").unionByName(rows.where("row < 0").dropDuplicates(["row"]))  # equal rows are cut once
+    every = stage.table(rows.where(F.octet_length("text") >= window).select("row", "text").mapInArrow(_list(window), "key long, digest long, row long, s long, e long, twice boolean"))
     shared = every.groupBy("key").agg(F.count("*").alias("k"), F.max("twice").alias("t")).where("k > 1 OR t").select("key")
     some = stage.table(every.join(shared, "key"))
     stage.drop(every)
@@ -200,14 +201,15 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     whole = some.join(kinds.where("n > 1").select("key", "digest"), ["key", "digest"]).select("row", "s", "e")
     mixed = kinds.groupBy("key").agg(F.count("*").alias("k"), F.max("t").alias("t"), F.min("n").alias("least")).where("least = 1 AND (k > 1 OR t)").select("key")
     wanted = stage.table(kinds.join(mixed, "key").select("key", F.col("x.row").alias("row"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), "n"))
-    size = wanted.agg(F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0))).first()[0]
+    size, n = wanted.agg(F.coalesce(F.sum(F.col("e") - F.col("s")), F.lit(0)), F.count("*")).first()
     found = whole
     if size:
         lists = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "s", "e", "n")).alias("wanted"))
-        texts = C.only(rows, stage.table(wanted.select("row").distinct()), "row").join(lists, "row").dropDuplicates(["row"])
-        cut = texts.select("row", "text", "wanted").mapInArrow(_cut, f"key long, row {ROW_SQL}, s long, n long, bytes binary")
+        # few lists go to the texts; many are met by shuffle
+        texts = once.join(F.broadcast(lists), "row") if n <= C.SMALL_IDS else C.only(once, stage.table(wanted.select("row").distinct()), "row").join(lists, "row")
+        cut = texts.select("row", "text", "wanted").mapInArrow(_cut, "key long, row long, s long, n long, bytes binary")
         shards = max(1, -(-size // SHARD_BYTES))
-        found = found.unionByName(stage.table(cut.repartition(shards, "key").mapInArrow(_sort(window), f"row {ROW_SQL}, s long, e long")))
+        found = found.unionByName(stage.table(cut.repartition(shards, "key").mapInArrow(_sort(window), "row long, s long, e long")))
     spans = stage.table(found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans")))
     # few spans go to the texts; many are met by shuffle
     if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= C.SMALL_IDS:
