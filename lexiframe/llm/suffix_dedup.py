@@ -166,7 +166,7 @@ def _strip(batches):
             raw = buf.tobytes()
             for d in range(lo, hi):
                 t, at, kept, merged = raw[offs[d - lo] : offs[d - lo + 1]], 0, [], []
-                for x in sorted((x["s"], x["e"]) for x in spans[d] or ()):
+                for x in zip((spans[d] or ())[::2], (spans[d] or ())[1::2]):
                     if merged and x[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], x[1])
                     else:
@@ -210,9 +210,13 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
         cut = texts.select("row", "text", "wanted").mapInArrow(_cut, "key long, row long, s long, n long, bytes binary")
         shards = max(1, -(-size // SHARD_BYTES))
         found = found.unionByName(stage.table(cut.repartition(shards, "key").mapInArrow(_sort(window), "row long, s long, e long")))
-    spans = stage.table(found.groupBy("row").agg(F.array_distinct(F.collect_list(F.struct("s", "e"))).alias("spans")))
-    # few spans go to the texts; many are met by shuffle
-    if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= C.SMALL_IDS:
+    spans = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("s", "e")))).alias("xs"))
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    grown = lambda acc, x: F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.greatest(last(acc), x["e"])))
+    merged = F.aggregate("xs", F.array().cast("array<long>"), lambda acc, x: F.when((F.size(acc) > 0) & (last(acc) >= x["s"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x["s"], x["e"]))))
+    spans = stage.table(spans.select("row", merged.alias("spans")))
+    # few spans, merged, go to the texts; many are met by shuffle
+    if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= 2 * C.SMALL_IDS:
         spans = F.broadcast(spans)
     return rows.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
 
