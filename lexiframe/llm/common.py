@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,11 @@ class Stage:
         out._lexiframe_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets the driver's cleaner see that finished steps need their shuffle files no more; else these stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_lexiframe_path", None)
         if path:
