@@ -396,6 +396,24 @@ def test_passages_with_changed_words_are_found():
             assert _found(words(60, 4000 + k) + q + words(60, 5000 + k), words(80, 6000 + k) + other + words(30, 7000 + k)) >= 0.85 * n
 
 
+def test_links_of_passages_with_many_changed_words(spark):
+    """Texts that share no dozen words in a row are linked; so is one whose keys all go to a leader that it has no passage with, by another follower."""
+    texts = []
+    for k in range(12):
+        q = words(60, 7000 + k)
+        texts += [words(40, 7100 + k) + q + words(30, 7200 + k), words(20, 7300 + k) + [f"c{k}x{i}" if i % 7 == 3 else w for i, w in enumerate(q)] + words(50, 7400 + k)]
+    for k in range(12):
+        q = words(120, 7500 + k)
+        order = random.Random(k).sample(range(120), 32)
+        b = [f"b{k}x{i}" if i in order[:14] else w for i, w in enumerate(q)]
+        c = [f"c{k}x{i}" if i in order[14:] else w for i, w in enumerate(b)]
+        texts += [words(50, 7600 + k) + q + words(50, 7700 + k), words(20, 7800 + k) + b + words(20, 7900 + k), words(20, 8000 + k) + c + words(20, 8100 + k)]
+    pairs = [(i, i + 1) for i in range(0, 24, 2)] + [(i + j, i + j + 1) for i in range(24, 60, 3) for j in (0, 1)]
+    linked = [(i, j) for i, j in pairs if _found(texts[i], texts[j])]
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(spark, frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert len(linked) > 30 and all(got[i].class_id == got[j].class_id and got[i].n_links and got[j].n_links for i, j in linked)
+
+
 def test_chains_reach_the_near_seed_past_a_better_far_one():
     far, near = [(0, 0, 60), (62, 500, 5)], [(300, 200, 30), (333, 233, 30)]
     assert sorted(map(len, chaining.chains(sorted(far + near)))) == [1, 1, 2]
