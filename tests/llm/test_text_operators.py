@@ -414,6 +414,19 @@ def test_links_of_passages_with_many_changed_words(spark):
     assert len(linked) > 30 and all(got[i].class_id == got[j].class_id and got[i].n_links and got[j].n_links for i, j in linked)
 
 
+def test_a_common_line_without_passages_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """Holders of a line that is too short for a passage stay apart and meet a few leaders each; a passage around the line is found among them."""
+    line = words(36, 8200)
+    texts = [words(50, 8300 + k) + line + words(50, 8500 + k) for k in range(100)]
+    long = words(12, 8700) + line + words(12, 8701)
+    texts += [words(40, 8800 + k) + long + words(40, 8900 + k) for k in range(4)]
+    met, aligned = [], chaining._aligned
+    monkeypatch.setattr(chaining, "_aligned", lambda words, pairs, n: met.append(n) or aligned(words, pairs, n))
+    got = {r.doc_id: r for r in chaining.fuzzy_passages(spark, frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert sum(met) <= 6 * len(texts)
+    assert all(got[k].class_id == k and not got[k].n_links for k in range(100)) and {got[k].class_id for k in range(100, 104)} == {100}
+
+
 def test_chains_reach_the_near_seed_past_a_better_far_one():
     far, near = [(0, 0, 60), (62, 500, 5)], [(300, 200, 30), (333, 233, 30)]
     assert sorted(map(len, chaining.chains(sorted(far + near)))) == [1, 1, 2]
